@@ -3,7 +3,7 @@
 A text is cut into pieces by the vocabulary's pattern; pieces are independent, so texts are the
 free concatenation of their encodings.  Within a piece the encoding is a tree reduction: both
 halves are encoded recursively, and neighbours are joined by re-encoding a window of bytes round
-the boundary.  The window grows, token by token on the side that isn't settled, until its first
+the boundary.  The window grows, by one token, two, four and so on, on the side that isn't settled, until its first
 and its last token stand firm against the tokens outside: a token sequence is the encoding of its
 bytes exactly when every two neighbours are the encoding of theirs (until some merge crosses a
 boundary between tokens, each token's own merges go on as they would alone; the first crossing
@@ -15,6 +15,7 @@ Decoding concatenates the tokens' bytes up a tree.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -72,7 +73,9 @@ class MonoidBPE:
         self._old: dict[str, bytes] = {}
 
     def merge(self, b: bytes) -> tuple[int, ...]:
-        """The merges of a short segment, lowest rank first, leftmost first."""
+        """The merges of a segment, lowest rank first, leftmost first."""
+        if len(b) > 64:
+            return self._merge_long(b)
         parts = [b[i : i + 1] for i in range(len(b))]
         get = self.ranks.get
         while len(parts) > 1:
@@ -86,6 +89,27 @@ class MonoidBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(self.ranks[p] for p in parts)
 
+    def _merge_long(self, b: bytes) -> tuple[int, ...]:
+        """The same with a heap over a linked list: n log n for a window that had to grow long."""
+        get, n = self.ranks.get, len(b)
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get(b[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i] if not gone[i] else n
+            if j >= n or get(b[i : end[j]]) != r:
+                continue  # stale: a side has changed since
+            end[i], after[i], gone[j] = end[j], after[j], 1
+            if after[i] < n:
+                before[after[i]] = i
+                if (x := get(b[i : end[after[i]]])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := get(b[h : end[i]])) is not None:
+                heapq.heappush(heap, (x, h))
+        return tuple([self.ranks[b[i : end[i]]] for i in range(n) if not gone[i]])
+
     def firm(self, left: int, right: int) -> bool:
         """Are two tokens side by side the encoding of their bytes?"""
         known = self._firm.get((left, right))
@@ -102,17 +126,19 @@ class MonoidBPE:
             return left or right
         if self.firm(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1
+        i, j, step = len(left) - 1, 1, 1
         while True:
             window = self.segment(b"".join([self.bytes_of[t] for t in left[i:] + right[:j]]))
             grow_left = i > 0 and not self.firm(left[i - 1], window[0])
             grow_right = j < len(right) and not self.firm(window[-1], right[j])
             if not grow_left and not grow_right:
                 return left[:i] + window + right[j:]
-            i, j = i - grow_left, j + grow_right
+            i, j, step = max(0, i - step * grow_left), min(len(right), j + step * grow_right), 2 * step
 
     def segment(self, b: bytes) -> tuple[int, ...]:
-        """A window's own encoding, by its merges; windows are a few tokens long."""
+        """A window's own encoding, by its merges; windows are mostly a few tokens long."""
+        if len(b) > 64:
+            return self.merge(b)
         out = self._segments.get(b)
         if out is None:
             if len(self._segments) > self.MEMO:
