@@ -1,8 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, mix
+from . import bpe, langid, mix, quality
 
 QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_rank_order_language": langid.op5_rank_order_language,
     "op7_mix_sources": mix.op7_mix_sources,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
