@@ -60,7 +60,7 @@ class MonoidBPE:
     #: Segments up to so many bytes are the leaves.
     LEAF = 6
     #: Entries of a memo before its older half is let go.
-    MEMO = 300_000
+    MEMO = 120_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, Splitter(pattern)
