@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stand-in keys of rows without an id lie above all ids.
+NO_ID = 1 << 62
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +74,32 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id, or for a null id a number from the text that lies above all ids."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 60)))
+
+
+def bitmap(df: DataFrame, hash_col: str, log2_bits: int = 24) -> np.ndarray:
+    """A bitmap of fixed size, as 64-bit words, in which each hash of ``hash_col`` has set one bit.
+
+    It screens rows before an exact join: whatever the number of hashes, it has ``2**log2_bits``
+    bits, and one that fills up lets more rows through but loses none.
+    """
+    at = F.shiftrightunsigned(col(hash_col), 64 - log2_bits)
+    words = df.select(at.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(1 << (log2_bits - 6), np.uint64)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) have their bit set."""
+    log2_bits = int(len(words)).bit_length() + 5
+    at = hashes >> np.uint64(64 - log2_bits)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, graph, langid, mix, quality, vafile
+from . import bpe, graph, langid, linededup, mix, quality, simhash, vafile
 
 QUERIES = {
+    "op2_line_chunks": linededup.op2_line_chunks,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_rank_order_language": langid.op5_rank_order_language,
+    "op6_simhash_classes": simhash.op6_simhash_classes,
     "op7_mix_sources": mix.op7_mix_sources,
     "op8_exact_top_k": vafile.op8_exact_top_k,
     "op9_robust_graph": graph.op9_robust_graph,
