@@ -182,12 +182,13 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text",
     """``docs`` with ``score_col`` (0 to 1) added, a narrow projection.
 
     Null and empty texts are scored like an empty text; repeated rows score alike; an empty table
-    stays empty.  The statistics get names that ``docs`` doesn't have and go again.
+    stays empty.  The statistics get a name that ``docs`` doesn't have and go again.
     """
     stats = statistics(col(text_col))
-    names = dict(zip(stats, fresh(docs, *[f"stat_{k}" for k in stats]), strict=True))
-    wide = docs.withColumns({names[k]: c for k, c in stats.items()})
-    out = wide.withColumn(score_col, model.columns({k: col(v) for k, v in names.items()}))
+    (name,) = fresh(docs, "text_stats")
+    # a generator of one row: what is filtered above it can't be pushed below, where each rule would count anew
+    wide = docs.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))))
+    out = wide.withColumn(score_col, model.columns({k: F.col(f"{name}.{k}") for k in stats}))
     return out.select(*[col(c) for c in docs.columns if c != score_col], score_col)
 
 
