@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, graph, langid, linededup, mix, quality, simhash, vafile
+from . import bpe, graph, langid, linededup, mix, quality, simhash, suffixtree, vafile
 
 QUERIES = {
+    "op1_suffix_tree": suffixtree.op1_suffix_tree,
     "op2_line_chunks": linededup.op2_line_chunks,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_rank_order_language": langid.op5_rank_order_language,
