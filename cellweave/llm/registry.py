@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, graph, langid, linededup, mix, quality, simhash, suffixtree, vafile
+from . import bpe, graph, langid, linededup, mix, quality, simhash, suffixarray, suffixtree, vafile
 
 QUERIES = {
     "op1_suffix_tree": suffixtree.op1_suffix_tree,
     "op2_line_chunks": linededup.op2_line_chunks,
+    "op3_suffix_array": suffixarray.op3_suffix_array,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_rank_order_language": langid.op5_rank_order_language,
     "op6_simhash_classes": simhash.op6_simhash_classes,
