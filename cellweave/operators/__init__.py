@@ -1 +1 @@
-"""See the package README."""
+"""Operators: tessellation, geometry, walls, sections, moving points, physics, optimisers."""
