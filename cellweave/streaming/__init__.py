@@ -1 +1,52 @@
-"""See the package README."""
+"""Points that move as a stream: every micro-batch is a step of a ``Moving`` tessellation."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.moving import Moving
+from ..plans import staged
+
+
+class Follower:
+    """Applies batches of moved points (``cell_id, x, y, z[, step]``) to a tessellation.
+
+    A repair needs the positions of all seeds, so a batch is completed from the last ones; of
+    several rows of a seed the one of the greatest ``step`` counts.  Rows of unknown seeds, and
+    rows with nulls, are left out.  ``steps`` keeps each batch's counts.
+    """
+
+    def __init__(self, moving: Moving, seeds: DataFrame, on_step: Callable[[DataFrame, dict, int], None] | None = None):
+        self.moving, self.on_step, self.steps, self.done = moving, on_step, [], -1
+        self.positions = staged(seeds.select("cell_id", "x", "y", "z"), "positions")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.done:  # a batch that is given again after a restart of the query
+            return
+        order = Window.partitionBy("cell_id").orderBy(F.desc("step") if "step" in batch.columns else F.lit(0))
+        last = batch.dropna(subset=["cell_id", "x", "y", "z"]).withColumn("n", F.row_number().over(order)).where("n = 1")
+        last = last.select("cell_id", *[F.col(c).alias(f"new_{c}") for c in "xyz"])
+        now = self.positions.join(last, "cell_id", "left")
+        now = now.select("cell_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in "xyz"])
+        self.positions = staged(now, "positions")
+        stats = self.moving.step(self.positions)
+        self.steps.append(stats)
+        self.done = batch_id
+        if self.on_step:
+            self.on_step(self.moving.cells, stats, batch_id)
+
+
+def follow(stream: DataFrame, follower: Follower, checkpoint: str, **options: str) -> StreamingQuery:
+    """Starts the query; ``checkpoint`` is a folder that the driver and executors share."""
+    return stream.writeStream.options(**options).option("checkpointLocation", checkpoint).foreachBatch(follower.apply).start()
+
+
+def latest_moves(events: DataFrame, n_seeds: int, lateness: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
+    """From an event stream (``event_id, ts, value``), how far each seed is moved in each window of
+    event time: ``window, cell_id, moved``.  Late events within ``lateness`` still count."""
+    e = events.withWatermark("ts", lateness).withColumn("cell_id", F.pmod("event_id", F.lit(n_seeds)))
+    return e.groupBy(F.window("ts", every), "cell_id").agg(F.sum("value").alias("moved"))
