@@ -101,11 +101,15 @@ class Cells:
         with np.errstate(divide="ignore", invalid="ignore"):
             det = (ua * bc).sum(1)
             self.v[lane, at] = (self.h[lane, a][:, None] * bc + self.h[lane, b][:, None] * np.cross(uc, ua) + self.h[lane, c][:, None] * np.cross(ua, ub)) / det[:, None]
-        few = np.flatnonzero(made < lost)  # only by rounding: close the gaps
-        for i in few:
-            free = slot[first_lost[i] + made[i] : first_lost[i] + lost[i]]
-            keep = np.setdiff1d(np.arange(self.nt[lanes[i]]), free)
-            self.tri[lanes[i], : len(keep)], self.v[lanes[i], : len(keep)] = self.tri[lanes[i], keep], self.v[lanes[i], keep]
+        few = np.flatnonzero(made < lost)  # whole faces went with their corners: close the gaps
+        if len(few):
+            some, top = lanes[few], int(self.nt[lanes[few]].max())
+            spare = np.arange(len(row)) - first_lost[row] >= made[row]
+            gap = np.zeros((len(lanes), top), bool)
+            gap[row[spare], np.minimum(slot[spare], top - 1)] = True
+            order = np.argsort(gap[few], 1, kind="stable")[:, :, None]
+            self.tri[some, :top] = np.take_along_axis(self.tri[some, :top], order, 1)
+            self.v[some, :top] = np.take_along_axis(self.v[some, :top], order, 1)
         self.nt[lanes] += made - lost
         top = int(self.nt[lanes].max())
         far = (self.v[lanes, :top] ** 2).sum(2)
@@ -151,7 +155,7 @@ class Cells:
 
 def min_image(d: np.ndarray, box: np.ndarray) -> np.ndarray:
     """Adds or takes one period where a difference exceeds half of it; at exactly half, neither."""
-    return np.where(d > box / 2, d - box, np.where(d < -box / 2, d + box, d))
+    return d - box * np.rint(d / box)  # half rounds to even: to none
 
 
 def clip_against_solid(cells: Cells, seeds: np.ndarray, sdf, cuts: int = 24, tol: float = 1e-8) -> np.ndarray:

@@ -17,17 +17,18 @@ CORNERS = "array<struct<a:int,b:int,c:int,x:double,y:double,z:double>>"
 CELLS = f"cell_id long, x double, y double, z double, w double, status int, volume double, n_facets int, n_neighbors int, r2_max double, facets {FACETS}, planes {PLANES}, corners {CORNERS}"
 
 #: Seeds in a bin of the kernel's own grid, bins looked at each way, nearest seeds taken at first.
-BIN_SEEDS, BIN_REACH, FIRST = 4, 2, 128
+BIN_SEEDS, BIN_REACH, FIRST = 4, 2, 112
 
 
-def _order(d2: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
-    """Per row, the ``limit`` nearest columns, closest first, ties by id."""
+def _order(d2: np.ndarray, limit: int) -> np.ndarray:
+    """Per row, the ``limit`` nearest columns, closest first, ties by column (columns ascend by id)."""
     if d2.shape[1] > limit:
         part = np.argpartition(d2, limit - 1, 1)[:, :limit]
+        part.sort(1)
     else:
         part = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
     near = np.take_along_axis(d2, part, 1)
-    order = np.lexsort((ids[part], near), axis=1)
+    order = np.argsort(near, 1, kind="stable")
     return np.take_along_axis(part, order, 1)
 
 
@@ -63,6 +64,8 @@ def build_cells(pos: np.ndarray, ids: np.ndarray, weights: np.ndarray | None, ow
 
     ``halo`` is the distance round each owned seed within which all seeds are given."""
     weighted = weights is not None
+    if (ids[1:] < ids[:-1]).any():
+        raise ValueError("ids must ascend")
     mine = np.flatnonzero(owned)
     cells = Cells(len(mine), box)
     served = np.zeros(len(mine))
@@ -82,7 +85,7 @@ def build_cells(pos: np.ndarray, ids: np.ndarray, weights: np.ndarray | None, ow
             d2 = (rel * rel).sum(2)
             same = ids[cand][None] == ids[mine[some]][:, None]
             d2[same] = np.inf
-            at = _order(d2, ids[cand], limit)
+            at = _order(d2, limit)
             got = np.take_along_axis(d2, at, 1)
             queue.append((some, np.where(np.isfinite(got)[:, :, None], np.take_along_axis(rel, at[:, :, None], 1), np.inf), ids[cand][at], weights[cand][at] if weighted else None, len(cand) <= limit))
 
@@ -116,7 +119,7 @@ def build_cells(pos: np.ndarray, ids: np.ndarray, weights: np.ndarray | None, ow
             at = (np.array([h % dims[0], h // dims[0] % dims[1], h // (dims[0] * dims[1])]) + steps) % dims
             codes = at[:, 0] + dims[0] * (at[:, 1] + dims[1] * at[:, 2])
             a, b = np.searchsorted(sorted_code, codes), np.searchsorted(sorted_code, codes, "right")
-            cand = np.concatenate([order[i:j] for i, j in zip(a, b) if j > i])
+            cand = np.sort(np.concatenate([order[i:j] for i, j in zip(a, b) if j > i]))
             run(by_home[lo:hi], cand, FIRST)
         drain(min(halo, BIN_REACH * float((box / dims).min())))
     more = wanting()
