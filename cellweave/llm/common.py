@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +88,9 @@ def bitmap(df: DataFrame, hash_col: str, log2_bits: int = 24) -> np.ndarray:
     """
     at = F.shiftrightunsigned(col(hash_col), 64 - log2_bits)
     words = df.select(at.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -100,6 +101,17 @@ def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def sift(df: DataFrame, hash_col: str, words: np.ndarray, hit: bool) -> DataFrame:
+    """The rows of ``df`` whose hash has its bit set in a ``bitmap``, or hasn't; no shuffle."""
+    screen, at = df.sparkSession.sparkContext.broadcast(words), df.columns.index(hash_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(screen.value, np.asarray(batch.column(at)).view(np.uint64)) == hit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

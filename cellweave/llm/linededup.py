@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, col, documents, fresh, in_bitmap, row_key, staged
+from .common import bitmap, col, documents, fresh, in_bitmap, row_key, sift, staged
 
 #: Lines under the rolling hash, one boundary in so many lines, and least lines of a chunk.
 WINDOW, EVERY, LEAST = 2, 3, 2
@@ -129,16 +130,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = repeated_chunks(docs, id_col, text_col).groupBy("key").agg(F.collect_set(F.struct("first", "h")).alias("gone"))
     gone = staged(gone, "gone")
-    key, text, was = fresh(docs, "dedup_key", "dedup_text", "dedup_gone")
+    # only documents that lose lines are shuffled, and the few that share their bit of a fixed-size bitmap
+    screen = bitmap(gone.select(F.xxhash64("key").alias("h")), "h")
+    key, mark, text = fresh(docs, "dedup_key", "dedup_mark", "dedup_text")
     added = ["n_lines", "removed_lines", "removed_chunks"]
     names = [c for c in docs.columns if c not in added]
     rest = [c for c in names if c != text_col]
-    wide = docs.select(*[col(c) for c in rest], col(text_col).cast("string").alias(text), row_key(col(id_col), col(text_col)).alias(key))
-    wide = wide.join(gone.select(F.col("key").alias("gone_of"), F.col("gone").alias(was)), col(key) == F.col("gone_of"), "left")
-    wide = wide.select(*[col(c) for c in rest], text, was)
+    wide = docs.select(*[col(c) for c in rest], row_key(col(id_col), col(text_col)).alias(key), col(text_col).cast("string").alias(text)).withColumn(mark, F.xxhash64(col(key)))
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(text_col, T.StringType()), *[T.StructField(c, T.IntegerType()) for c in added]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, none = batch.column(len(rest) + 1), pa.array(np.zeros(batch.num_rows, np.int32))
+            lines = pc.add(pc.count_substring(body, "\n"), 1).fill_null(0).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], body, lines, none, none], names=schema.names)
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], ([], [], [])
             for body, drop in zip(batch.column(len(rest)), batch.column(len(rest) + 1)):
@@ -149,7 +156,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     c.append(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], pa.array(texts, pa.string()), *[pa.array(c, pa.int32()) for c in counts]], names=schema.names)
 
-    out = wide.mapInArrow(run, schema)
+    same = sift(wide, mark, screen, False).mapInArrow(counted, schema)
+    was = fresh(docs, "dedup_gone")[0]
+    losing = sift(wide, mark, screen, True)
+    # merged at every size: the plan doesn't turn with the number of removed chunks
+    losing = losing.join(gone.select(F.col("key").alias("gone_of"), F.col("gone").alias(was)).hint("merge"), col(key) == F.col("gone_of"), "left")
+    out = same.union(losing.select(*[col(c) for c in rest], col(text), col(was)).mapInArrow(rewrite, schema))
     return out.select(*[col(c) for c in names], *added)
 
 
