@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, col, documents, fresh, row_key, staged
+from .common import NO_ID, bitmap, col, documents, fresh, row_key, sift, staged
 from .components import components, forest
 
 #: (bits, radius) of each segment: while distances up to 4 are asked for, one segment must be within.
@@ -195,17 +195,24 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that head their component, one for each; columns as they were."""
-    classes = near_duplicate_classes(docs, id_col, text_col, radius).where(F.col("key") == F.col("component"))
-    heads = staged(classes.groupBy("key").agg(F.count("*").alias("rows")), "kept")
-    key, tie = fresh(docs, "head_key", "head_rows")
-    keyed = docs.withColumn(key, row_key(col(id_col), col(text_col)))
-    kept = keyed.join(heads.select(F.col("key").alias("k"), F.col("rows").alias(tie)), F.col(key) == F.col("k")).drop("k")
-    if heads.where("rows > 1").isEmpty():
-        return kept.select(*[col(c) for c in docs.columns])
-    single = kept.where(col(tie) == 1)
-    repeated = kept.where(col(tie) > 1).dropDuplicates([key])
-    return single.union(repeated).select(*[col(c) for c in docs.columns])
+    """The rows of ``docs`` whose key heads a component, one for each key; columns as they were.
+
+    Only documents that go or are repeated, and the few that share their bit of a fixed-size
+    bitmap, are shuffled."""
+    classes = near_duplicate_classes(docs, id_col, text_col, radius)
+    by_key = classes.groupBy("key").agg(F.count("*").alias("rows"), F.max((F.col("key") == F.col("component")).cast("int")).alias("head"))
+    marked = staged(by_key.where("rows > 1 or head = 0"), "marked")
+    key, mark = fresh(docs, "head_key", "head_mark")
+    keyed = docs.withColumn(key, row_key(col(id_col), col(text_col))).withColumn(mark, F.xxhash64(col(key)))
+    screen = bitmap(marked.select(F.xxhash64("key").alias("h")), "h")
+    names = [col(c) for c in docs.columns]
+    free = sift(keyed, mark, screen, False).select(*names)
+    # merged at every size: the plan doesn't turn with the number of duplicates
+    held = sift(keyed, mark, screen, True).join(marked.select(F.col("key").alias("marked_key"), "rows", "head").hint("merge"), col(key) == F.col("marked_key"), "left")
+    single = held.where(F.col("marked_key").isNull()).select(*names)
+    repeated = held.where("rows > 1 and head = 1")
+    out = free.union(single)
+    return out if marked.where("rows > 1 and head = 1").isEmpty() else out.union(repeated.dropDuplicates([key]).select(*names))
 
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
