@@ -21,12 +21,19 @@ from pyspark.sql import functions as F
 from .common import WORD, col, documents, fresh, remainder
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text; a null text counts as empty."""
+def shared_parts(text: Column) -> tuple[Column, Column]:
+    """What several statistics share: the number of words, at least 1, and the lines."""
+    t = F.coalesce(text, F.lit(""))
+    return F.greatest(F.regexp_count(t, F.lit(WORD)), F.lit(1)).cast("double"), F.split(t, "\n", -1)
+
+
+def statistics(text: Column, words: Column | None = None, lines: Column | None = None) -> dict[str, Column]:
+    """Statistics of a text; a null text counts as empty.  ``words`` and ``lines``: columns that already
+    hold ``shared_parts``."""
+    if words is None or lines is None:
+        words, lines = shared_parts(text)
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.greatest(F.regexp_count(t, F.lit(WORD)), F.lit(1)).cast("double")
-    lines = F.split(t, "\n", -1)
     per_char = lambda rx: F.regexp_count(t, F.lit(rx)) / n
     return {
         "log_chars": F.log1p(F.length(t).cast("double")),
@@ -184,10 +191,11 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text",
     Null and empty texts are scored like an empty text; repeated rows score alike; an empty table
     stays empty.  The statistics get a name that ``docs`` doesn't have and go again.
     """
-    stats = statistics(col(text_col))
-    (name,) = fresh(docs, "text_stats")
+    name, words, lines = fresh(docs, "text_stats", "text_words", "text_lines")
+    stats = statistics(col(text_col), col(words), col(lines))
+    shared = docs.withColumns(dict(zip((words, lines), shared_parts(col(text_col)), strict=True)))  # once for all statistics
     # a generator of one row: what is filtered above it can't be pushed below, where each rule would count anew
-    wide = docs.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))))
+    wide = shared.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in stats.items()]))))
     out = wide.withColumn(score_col, model.columns({k: F.col(f"{name}.{k}") for k in stats}))
     return out.select(*[col(c) for c in docs.columns if c != score_col], score_col)
 
