@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import bitmap, col, documents, in_bitmap, remainder, staged
+from .common import bitmap, col, documents, drop_staged, in_bitmap, remainder, staged
 from .exchange import PACKED, as_table, batch, lookup, mix, pack, packed_table, pair, range_of, ranges_for, reduced, split_sorted, summed, unpack
 
 #: Tokens of a block; a longer text is a block of its own.
@@ -85,6 +86,27 @@ def contexts(tokens: np.ndarray, starts: np.ndarray, depth: int) -> list[tuple[n
     return out
 
 
+def by_frequency(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, most frequent first, and each key's place among them): small numbers pack well."""
+    values, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return values[order], rank[place]
+
+
+def before(word: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """The place of the word before each token; ``start`` where a text begins."""
+    out = np.concatenate(([start], word[:-1])).astype(np.int64)
+    out[starts] = start
+    return out
+
+
+def grouped(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each pair whose order is that of the states."""
+    return (s & np.uint64(0xFFFFFFFF00000000)) | (pair(s, w) >> np.uint64(32))
+
+
 class Training:
     """The counts and the model; each stage is written to the shared folder."""
 
@@ -124,53 +146,63 @@ class Training:
         seen = self.word_table.where(F.col("value") >= self.least)
         # states so frequent that one range would hold much more than its share: at most 4 * ranges
         often = self.n / (4 * self.ranges)
-        hot = self.word_table.where(F.col("value") > often).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+        hot = self.word_table.where(F.col("value") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
         hot = np.sort(np.append(hot, START))
         screen = sc.broadcast(bitmap(seen, "key"))
-        retained = []
+        retained, successors = [], []
         for d in range(1, self.depth + 1):
             counts = self.successors(d, screen, hot)
             model = self.test(d, counts)
-            self.kv.append(model.where("kind < 2").select("key", "value"))
+            self.kv.append(model.where("kind <> 2").select("key", "value"))
             retained.append(model.where("kind = 0").select("state"))
+            successors.append(model.where("kind = 1").select("key"))
             if d < self.depth:
                 screen = sc.broadcast(bitmap(self.frequent(counts, self.least), "h"))
-                hot = np.sort(self.frequent(counts, often).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+                first = counts
+                hot = np.sort(self.frequent(counts, often).toArrow()["h"].to_numpy().view(np.uint64))
+            else:
+                drop_staged(counts)
+                if d > 1:
+                    drop_staged(first)
             self.settle()
-        kept = retained[0]
-        for r in retained[1:]:
-            kept = kept.union(r)
-        self.screen = sc.broadcast(bitmap(kept, "state"))
+        union = lambda frames: reduce(DataFrame.union, frames)
+        # bitmaps of fixed size keep most lookups that would find nothing out of the exchange
+        self.screen = sc.broadcast(bitmap(union(retained), "state"))
+        self.pairs = sc.broadcast(bitmap(union(successors), "key", 26))
 
     def successors(self, d: int, screen, hot: np.ndarray) -> DataFrame:
         """Packed rows by range: (states, words, counts) of successors seen twice, and of each
         state (state, total, successors seen once); a hot state's are parts."""
         ranges, depth = self.ranges, d
 
-        def where_to(s, w):
-            spread = np.isin(s, hot)
-            return range_of(np.where(spread, pair(s, w), mix(s, 5)), ranges)
-
         def count(batches):
             for block, tokens, starts, _, _ in blocks(batches):
                 s, ok = contexts(tokens, starts, depth)[-1]
                 ok = ok & (in_bitmap(screen.value, s) | (s == START))
                 s, w = s[ok], tokens[ok]
-                _, n, at = summed(pair(s, w), np.ones(len(s), np.uint32))
-                s, w = s[at], w[at]
-                p = where_to(s, w)
-                order = np.lexsort((s, p))
-                s, w, n, p = s[order], w[order], n[order], p[order]
-                edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
-                rows = [(int(p[lo]), block, pack(s[lo:hi], w[lo:hi], n[lo:hi].astype(np.uint32), ascending=1)) for lo, hi in zip(edges, np.append(edges[1:], len(p)))]
+                _, n, at = summed(grouped(s, w), np.ones(len(s), np.uint32))
+                s, w, n = s[at], w[at], n.astype(np.uint32)
+                spread = np.isin(s, hot)
+                rows = list(cut(block, s[~spread], w[~spread], n[~spread], range_of(s[~spread], ranges)))
+                if spread.any():
+                    s, w, n = s[spread], w[spread], n[spread]
+                    p = range_of(pair(s, w), ranges)
+                    order = np.argsort(p, kind="stable")
+                    rows += cut(block, s[order], w[order], n[order], p[order])
                 yield batch(rows)
 
+        def cut(block, s, w, n, p):
+            edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
+            for lo, hi in zip(edges, np.append(edges[1:], len(p))):
+                yield int(p[lo]), block, pack(s[lo:hi], w[lo:hi], n[lo:hi], ascending=1)
+
         def add(p, parts):
             s, w = (np.concatenate([a[i] for _, a in parts]) for i in (0, 1))
-            _, n, at = summed(pair(s, w), np.concatenate([a[2].astype(np.int64) for _, a in parts]))
+            _, n, at = summed(grouped(s, w), np.concatenate([a[2].astype(np.int64) for _, a in parts]))
             s, w = s[at], w[at]
-            order = np.argsort(s, kind="stable")
-            s, w, n = s[order], w[order], n[order]
+            if (s[1:] < s[:-1]).any():  # states that agree in 32 bits
+                order = np.argsort(s, kind="stable")
+                s, w, n = s[order], w[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             total, once = np.add.reduceat(n, first), np.add.reduceat((n == 1).astype(np.int64), first)
             state = s[first]
@@ -193,8 +225,8 @@ class Training:
         return counts.mapInArrow(run, "h long")
 
     def test(self, d: int, counts: DataFrame) -> DataFrame:
-        """``kind, key, value, state`` of retained states: kind 0, a state's weight of its parent;
-        kind 1, a successor's own share.  d: the states' length."""
+        """``kind, key, value, state`` of retained states: kind 0, a state's weight k / D of its
+        parent; kind 3, its D; kind 1, a successor's count.  d: the states' length."""
         least, n_all, v_all, ranges, hot = self.least, self.n, self.v, self.ranges, self.hot
         limit = np.log(max(n_all, 2))
         parts_of_hot = {}
@@ -214,7 +246,7 @@ class Training:
         def ask(arrays, parent):
             """Keys to look up for a part: the words, and, above length 1, the parent's share and weight."""
             s, w, n, *_ = arrays
-            keys = [mix(w, 10)] + ([pair(parent, w), mix(parent, 11)] if parent is not None else [])
+            keys = [mix(w, 10)] + ([pair(parent, w), mix(parent, 11), mix(parent, 12)] if parent is not None else [])
             return np.unique(np.concatenate(keys))
 
         with_parent = self.with_parents(counts) if d > 1 else counts
@@ -241,8 +273,8 @@ class Training:
             get = lambda k: values[np.searchsorted(keys, k)]
             prob = (np.nan_to_num(get(mix(w, 10))) + 0.5) / (n_all + 0.5 * (v_all + 1))
             if parent is not None:
-                share, weight = np.nan_to_num(get(pair(parent, w))), get(mix(parent, 11))
-                prob = np.where(np.isnan(weight), prob, share + np.nan_to_num(weight) * prob)
+                times, weight, whole = np.nan_to_num(get(pair(parent, w))), get(mix(parent, 11)), get(mix(parent, 12))
+                prob = np.where(np.isnan(weight), prob, times / whole + weight * prob)
             total, once = total.astype(float), once.astype(float)
             is_hot = np.isin(state, hot)
             for i in np.flatnonzero(is_hot):
@@ -255,9 +287,9 @@ class Training:
             once_here = np.where(is_hot, arrays[5], once)
             gain += once_here * (np.log(k) - below)
             good = (total >= least) & ((gain > limit) | is_hot)
-            out = [(0, mix(state[good], 11), (k / (c2 + k))[good], state[good])]
+            out = [(0, mix(state[good], 11), (k / (c2 + k))[good], state[good]), (3, mix(state[good], 12), (c2 + k)[good], state[good])]
             go = good[of]
-            out.append((1, pair(s[go], w[go]), (n / (c2 + k)[of])[go], s[go]))
+            out.append((1, pair(s[go], w[go]), n[go].astype(float), s[go]))
             out.append((2, state[is_hot], gain[is_hot], state[is_hot]))
             return pa.table({
                 "kind": np.concatenate([np.full(len(o[1]), o[0], np.int32) for o in out]), "key": np.concatenate([o[1] for o in out]).view(np.int64),
@@ -265,12 +297,14 @@ class Training:
             })
 
         found = staged(with_parent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(decide, schema), f"states{d}")
+        if d > 1:
+            drop_staged(with_parent)
         if len(hot):
             gains = {r["state"]: r["g"] for r in found.where("kind = 2").groupBy("state").agg(F.sum("value").alias("g")).collect()}
             out = [k for k, g in gains.items() if g <= limit]
             found = found.where(~F.col("state").isin(out)) if out else found
             # each part of a hot state named its weight: one is enough
-            found = found.where("kind = 1").union(found.where("kind = 0").dropDuplicates(["state"]))
+            found = found.where("kind = 1").union(found.where("kind in (0, 3)").dropDuplicates(["kind", "state"]))
         if d < self.depth:
             self.parents = counts
         return found
@@ -345,26 +379,36 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(col(id_col).cast("long").alias("id"), held_out.alias("held"), col(text_col).cast("string").alias("text"))
     model = Training(rows, depth, least)
     model.fit()
-    ranges, screen, n_all, v_all = model.ranges, model.screen, model.n, model.v
+    ranges, screen, pairs_seen, n_all, v_all = model.ranges, model.screen, model.pairs, model.n, model.v
 
     def ask(batches):
         for block, tokens, starts, ids, held in blocks(batches):
-            words, word = np.unique(tokens, return_inverse=True)
+            words, word = by_frequency(tokens)
+            # a state of one word is known by the token before: only which words may be states is sent
+            may = in_bitmap(screen.value, np.append(words, START))
             parts, keys = [], [mix(words, 10)]
-            for s, ok in contexts(tokens, starts, depth):
-                ok = ok & in_bitmap(screen.value, s)
-                at = np.flatnonzero(ok)
-                states, state = np.unique(s[at], return_inverse=True)
-                pairs, share = np.unique(pair(s[at], tokens[at]), return_inverse=True)
-                keys += [mix(states, 11), pairs]
-                parts += [np.packbits(ok), state.astype(np.uint32), share.astype(np.uint32)]
+            for d, (s, ok) in enumerate(contexts(tokens, starts, depth)):
+                if d == 0:
+                    at = np.flatnonzero(may[before(word, starts, len(words))])
+                    states = np.append(words, START)[may]
+                    parts.append(np.packbits(may))
+                else:
+                    at = np.flatnonzero(ok & in_bitmap(screen.value, s))
+                    states, state = by_frequency(s[at])
+                    parts += [np.packbits(np.isin(np.arange(len(s)), at, assume_unique=True)), state]
+                both = pair(s[at], tokens[at])
+                seen = in_bitmap(pairs_seen.value, both)
+                pairs, times = by_frequency(both[seen])
+                keys += [mix(states, 11), mix(states, 12), pairs]
+                parts += [np.packbits(seen), times]
             known = np.unique(np.concatenate(keys))
             # the keys' places among the distinct keys, then each position's place among the keys
             places = [np.searchsorted(known, k).astype(np.uint32) for k in keys]
             id_values = np.asarray(ids.fill_null(0), np.int64)
-            body = pack(word.astype(np.uint32), starts, id_values, np.asarray(ids.is_null()).astype(np.uint8), np.asarray(held).astype(np.uint8), *places, *parts)
+            body = pack(word, starts, id_values, np.asarray(ids.is_null()).astype(np.uint8), np.asarray(held).astype(np.uint8), *places, *parts)
             yield batch([(-1, block, body), *split_sorted(block, known, ranges)])
 
+    model.settle()
     asked = staged(rows.mapInArrow(ask, PACKED), "requests")
     answers = lookup(asked.where("p >= 0"), model.packed_kv())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -375,17 +419,26 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         order = np.argsort(p)[1:]
         values = np.concatenate([unpack(t["payload"][int(i)].as_py())[0] for i in order])
         word, starts, ids, no_id, held = body[:5]
-        places, parts = body[5 : 6 + 2 * depth], body[6 + 2 * depth :]
+        places, parts = body[5 : 6 + 3 * depth], body[6 + 3 * depth :]
         seen = np.nan_to_num(values[places[0]])[word]
         prob = (seen + 0.5) / (n_all + 0.5 * (v_all + 1))
         base = np.log10(prob)
         for d in range(depth):
-            mask, state, share = parts[3 * d : 3 * d + 3]
-            at = np.flatnonzero(np.unpackbits(mask, count=len(word)))
-            weight = values[places[1 + 2 * d]][state]
-            own = np.nan_to_num(values[places[2 + 2 * d]][share])
+            if d == 0:
+                n_words = len(places[0])
+                may = np.unpackbits(parts[0], count=n_words + 1).astype(bool)
+                prev = before(word, starts, n_words)
+                at = np.flatnonzero(may[prev])
+                state = (np.cumsum(may) - 1)[prev[at]]
+                seen_mask, times = parts[1:3]
+            else:
+                mask, state, seen_mask, times = parts[4 * d - 1 : 4 * d + 3]
+                at = np.flatnonzero(np.unpackbits(mask, count=len(word)))
+            weight, whole = values[places[1 + 3 * d]][state], values[places[2 + 3 * d]][state]
+            own = np.zeros(len(at))
+            own[np.flatnonzero(np.unpackbits(seen_mask, count=len(at)))] = np.nan_to_num(values[places[3 + 3 * d]][times])
             kept = ~np.isnan(weight)
-            prob[at[kept]] = own[kept] + weight[kept] * prob[at[kept]]
+            prob[at[kept]] = own[kept] / whole[kept] + weight[kept] * prob[at[kept]]
         full = np.log10(prob)
         lens = np.diff(np.append(starts, len(word)))
         return pa.table({
