@@ -20,6 +20,7 @@ over all ranges by their successors; there are at most a fixed number of these.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,11 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import bitmap, col, documents, drop_staged, in_bitmap, remainder, staged
+from .common import bitmap, col, documents, drop_staged, in_bitmap, remainder, shared_dir, staged
 from .exchange import PACKED, as_table, batch, lookup, mix, pack, packed_table, pair, range_of, ranges_for, reduced, split_sorted, summed, unpack
 
 #: Tokens of a block; a longer text is a block of its own.
-BLOCK = 1_500_000
+BLOCK = 750_000
 #: Hashes of the end, and of what stands before a text's first word.
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -365,6 +366,20 @@ def _word_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(mix(np.asarray(b.column(0)).view(np.uint64), 10).view(np.int64)), b.column(1)], names=["key", "value"])
 
 
+def staged_apart(packed: DataFrame):
+    """Packed rows staged with bodies (p below 0) and requests in folders of their own, and what
+    deletes the requests' folder."""
+    spark = packed.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cellweave-asked-{uuid.uuid4().hex}"
+    packed.withColumn("body", F.col("p") < 0).write.partitionBy("body").parquet(path)
+
+    def drop() -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/body=false")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(PACKED + ", body boolean").parquet(path), drop
+
+
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least: int = 16) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -409,8 +424,11 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             yield batch([(-1, block, body), *split_sorted(block, known, ranges)])
 
     model.settle()
-    asked = staged(rows.mapInArrow(ask, PACKED), "requests")
-    answers = lookup(asked.where("p >= 0"), model.packed_kv())
+    asked, drop_requests = staged_apart(rows.mapInArrow(ask, PACKED))
+    # the answers are written, so that the requests and what was shuffled for them can go first
+    answers = staged(lookup(asked.where("not body").select("p", "block", "payload"), model.packed_kv()), "answers")
+    drop_requests()
+    model.settle()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(t: pa.Table) -> pa.Table:
@@ -447,7 +465,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(full, starts),
         })
 
-    return asked.where("p < 0").union(answers).groupBy("block").applyInArrow(score, schema)
+    return asked.where("body").select("p", "block", "payload").union(answers).groupBy("block").applyInArrow(score, schema)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
