@@ -6,10 +6,10 @@ some ``WINDOW`` neighbouring ones.  Equal passages select equal positions, and a
 passage follow it.
 
 Suffixes whose first ``CORE`` words occur once in the corpus are gone after a count.  The others
-carry the words round them; they are sorted by the words that follow the core, and once more by
-those before the position; each is compared with its neighbours in either order and the match is
-extended right and left.  Matches of ``PASSAGE`` words or more between different documents are
-reported, merged over the suffixes of a document.
+carry the words round them; a match of ``PASSAGE`` words has some of its other words before the
+position and the rest after the core, and suffixes are sorted by each such split of the words, so
+that all that share them meet, however many they are.  Matches of ``PASSAGE`` words or more between
+different documents are reported, merged over the suffixes of a document.
 
 Suffixes with equal words all round collapse to one before they are sorted.  A core that is very
 frequent is not sorted as one group: a match of PASSAGE words has ``SIDE`` more equal words after or
@@ -34,8 +34,8 @@ CORE = PASSAGE - WINDOW + 1
 #: Words carried before a suffix and after its core.
 LEFT, RIGHT = 20, 22
 SIDE = (PASSAGE - CORE + 1) // 2
-#: Suffixes compared with each on either side, cores of so many suffixes count as frequent, tokens at once.
-REACH, FREQUENT, BLOCK = 3, 2_000, 400_000
+#: Cores of so many suffixes count as frequent, tokens at once.
+FREQUENT, BLOCK = 2_000, 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
@@ -130,40 +130,60 @@ def _window_ids(core: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 def compare(group: np.ndarray, around: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Sorts windows within groups, in both orders, and compares neighbours.
+    """Compares the windows of each group exactly, in memory linear in them.
+
+    A match of PASSAGE words has PASSAGE - CORE more equal words beside the core, some before the
+    position and the others after the core: for each way to split them, windows are grouped by the
+    words that the split names, and a group of two documents is a match of all its members.
 
     low, high: least and greatest document of each window.  Returns for each window how far its
-    matches reach (left, right of the position; 0 for none) and the least document matched with."""
-    n = len(group)
-    left, right = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    least = np.full(n, np.iinfo(np.int64).max)
+    matches reach (left, right of the position; 0 for none) and the least of all documents that
+    match it, its own included."""
+    n, more = len(group), PASSAGE - CORE
+    left, right, least = np.zeros(n, np.int32), np.zeros(n, np.int32), low.copy()
     right_words, left_words = around[:, :RIGHT], around[:, RIGHT:]
+    whole_l, whole_r = (left_words != 0).cumprod(1).sum(1), (right_words != 0).cumprod(1).sum(1)
+    up, _ = _powers(1 << 16)
 
-    def note(i, ln, rn, other):
-        np.maximum.at(left, i, ln)  # every match holds the position: their union reaches as far as each side's longest
-        np.maximum.at(right, i, rn)
-        np.minimum.at(least, i, other)
-
-    own = low != high  # equal words in two documents: everything carried matches
-    whole_l, whole_r = (left_words != 0).cumprod(1).sum(1), CORE + (right_words != 0).cumprod(1).sum(1)
-    i = np.flatnonzero(own & (whole_l + whole_r >= PASSAGE))
-    note(i, whole_l[i], whole_r[i], low[i])
-    for first, second in ((right_words, left_words), (left_words, right_words)):
-        key = np.concatenate((group.astype(">u8")[:, None].view(np.uint8).reshape(n, 8), np.ascontiguousarray(first).view(np.uint8).reshape(n, -1), np.ascontiguousarray(second).view(np.uint8).reshape(n, -1)), 1)
-        order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").reshape(n), kind="stable")
-        for gap in range(1, REACH + 1):
-            a, b = order[:-gap], order[gap:]
-            use = (group[a] == group[b]) & ((low[a] != low[b]) | (high[a] != high[b]) | own[a])
-            a, b = a[use], b[use]
-            if not len(a):
-                continue
-            rn = CORE + ((right_words[a] == right_words[b]) & (right_words[a] != 0)).cumprod(1).sum(1)
-            ln = ((left_words[a] == left_words[b]) & (left_words[a] != 0)).cumprod(1).sum(1)
-            ok = rn + ln >= PASSAGE
-            a, b, rn, ln = a[ok], b[ok], rn[ok], ln[ok]
-            for x, y in ((a, b), (b, a)):
-                note(x, ln, rn, np.where(low[y] != low[x], low[y], high[y]))
-    return left, right, np.minimum(least, np.where(left + right > 0, low, least))
+    def before(ln):
+        return left_words[:, ln].astype(np.uint64) * up[ln + 1]
+
+    def after(rn):
+        return right_words[:, rn].astype(np.uint64) * up[rn + 1]
+
+    def group_by(ln, rn, left_hash, right_hash):
+        use = np.flatnonzero((whole_l >= ln) & (whole_r >= rn))
+        if not len(use):
+            return
+        ids = pair(pair(group[use], left_hash[use]), right_hash[use])
+        order = np.argsort(ids)
+        use, ids = use[order], ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        lo, hi = np.minimum.reduceat(low[use], first), np.maximum.reduceat(high[use], first)
+        sizes = np.diff(np.append(first, len(use)))
+        hit = np.repeat(lo != hi, sizes)
+        i = use[hit]
+        left[i] = np.maximum(left[i], ln)  # every match holds the position: their union reaches as far as each side's longest
+        right[i] = np.maximum(right[i], CORE + rn)
+        least[i] = np.minimum(least[i], np.repeat(lo, sizes)[hit])
+
+    with np.errstate(over="ignore"):
+        none = np.zeros(n, np.uint64)
+        l_hash, r_hash = none.copy(), none.copy()
+        for rn in range(RIGHT):  # on the right alone, as far as is carried
+            r_hash += after(rn)
+            if rn + 1 > more:
+                group_by(0, rn + 1, none, r_hash)
+        for rn in range(RIGHT - 1, more - 1, -1):
+            r_hash -= after(rn)
+        for ln in range(LEFT + 1):
+            rn = max(0, more - ln)
+            group_by(ln, rn, l_hash, r_hash)
+            if ln < LEFT:
+                l_hash += before(ln)
+            if rn:
+                r_hash -= after(rn - 1)
+    return left, right, least
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

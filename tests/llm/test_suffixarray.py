@@ -83,3 +83,19 @@ def test_empty(spark):
     w = " ".join(f"n{i}" for i in range(70))
     two = spark.createDataFrame([(None, w), (5, w)], "doc_id long, text string")
     assert sorted(map(tuple, A.repeated_passages(two).collect()), key=str) == [(5, 0, 70, 70, 5), (None, 0, 70, 70, 5)]
+
+
+def test_every_occurrence_within_a_document_has_its_span(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    p60, p55 = text(60), text(55)
+    many = [w for _ in range(40) for w in text(rng.randint(5, 60)) + p60]
+    rows = [(1, " ".join(text(30) + p60 + text(9))), (2, " ".join(many)), (3, " ".join(text(12) + p55 + text(40)))]
+    for i in range(4, 24):  # these share more with each other, on either side, than with the third
+        rows += [(i, " ".join(text(25) + p55[: 50 + i % 6] + text(25))), (i + 100, " ".join(text(25) + p55[5 - i % 6 :] + text(25)))]
+    got = defaultdict(set)
+    for r in A.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].update(range(r["first_word"], r["end_word"]))
+    want = brute(rows)
+    assert len(want[2]) == 40 * 60
+    assert dict(got) == want
