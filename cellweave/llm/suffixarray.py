@@ -190,8 +190,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``doc_id, first_word, end_word, words, earliest_id``: each maximal run of words of a document
     in which every word belongs to a passage of PASSAGE words or more that another document has.
 
-    ``earliest_id`` is the least id that the run's matches name, the document's own included, so
-    the first occurrence is the one that names itself.  Documents without such a passage, null and
+    ``earliest_id`` is the least id of all documents that have a passage of the run, the document's
+    own included, so the first occurrence is the one that names itself.  Documents without such a passage, null and
     empty texts among them, have no row; rows of one id are one document; a row without an id has a
     key from its text above all ids, and null in these columns.  Other columns are not read.
     """

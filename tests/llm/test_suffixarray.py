@@ -99,3 +99,13 @@ def test_every_occurrence_within_a_document_has_its_span(spark):
     want = brute(rows)
     assert len(want[2]) == 40 * 60
     assert dict(got) == want
+
+
+def test_one_document_names_itself_for_a_passage_in_many(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = text(50)
+    rows = [(i, " ".join(text(25) + passage + text(25))) for i in range(200)]
+    got = A.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(200))
+    assert {r["earliest_id"] for r in got} == {0}
