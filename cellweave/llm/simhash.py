@@ -194,12 +194,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.select(F.when(F.col("key") < NO_ID, F.col("key")).alias("doc_id"), "key", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, classes: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose key heads a component, one for each key; columns as they were.
 
+    classes: ``key, component`` of every row, by default those of ``near_duplicate_classes``.
+
     Only documents that go or are repeated, and the few that share their bit of a fixed-size
     bitmap, are shuffled."""
-    classes = near_duplicate_classes(docs, id_col, text_col, radius)
+    if classes is None:
+        classes = near_duplicate_classes(docs, id_col, text_col, radius)
     by_key = classes.groupBy("key").agg(F.count("*").alias("rows"), F.max((F.col("key") == F.col("component")).cast("int")).alias("head"))
     marked = staged(by_key.where("rows > 1 or head = 0"), "marked")
     key, mark = fresh(docs, "head_key", "head_mark")
