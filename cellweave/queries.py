@@ -188,16 +188,21 @@ def fluid_steps(spark, d):
     return s.bodies.select("cell_id", *[F.round(c, 9).alias(c) for c in ("x", "y", "z", "ux", "uy", "uz")])
 
 
+def _outcome(spark, r, *names):
+    """The positions of an optimiser's result, with how it ended beside each."""
+    return from_arrays(spark, r.positions).select("*", *[F.lit(getattr(r, c)).alias(c) for c in names])
+
+
 def volume_mesh(spark, d):
     x = to_array(_seeds(spark, d), "x", "y", "z")
-    r = optimize.optimize_volume_mesh(x, np.full(len(x), 1 / len(x)), max_newton=3, cg_iters=50, spark=spark)
-    return from_arrays(spark, r.positions)
+    r = optimize.optimize_volume_mesh(x, np.full(len(x), 1 / len(x)), spark=spark)
+    return _outcome(spark, r, "converged", "iters", "max_vol_err", "mean_vol_err")
 
 
 def interface_mesh(spark, d):
     b = _bodies(spark, d)
     x, t = to_array(b, "x", "y", "z"), to_array(b, "phase")
-    return from_arrays(spark, optimize.minimize_interface(x, t, max_iter=3, spark=spark).positions)
+    return _outcome(spark, optimize.minimize_interface(x, t, spark=spark), "converged", "iters", "energy", "energy_ratio")
 
 
 _SEEDS = "seeds AS (SELECT vec_id AS cell_id, label, embedding, " + ", ".join(f"embedding[{i + 1}]::DOUBLE * 8 - floor(embedding[{i + 1}]::DOUBLE * 8) AS {c}" for i, c in enumerate("xyz")) + " FROM embeddings)"

@@ -36,3 +36,12 @@ def test_sections_tile_the_plane_and_solids_fill_the_box(spark):
     solids = Q.cell_polyhedra(spark, DIR).collect()
     assert sum(r["volume"] for r in solids) == pytest.approx(1, abs=1e-6)
     assert all(r["points"] == 2 * r["faces"] - 4 for r in solids)
+
+
+def test_optimisers_run_to_their_end_and_say_how_they_ended(spark):
+    mesh = Q.volume_mesh(spark, DIR).first()
+    assert mesh["converged"] and 3 < mesh["iters"] < 60
+    assert 0 <= mesh["mean_vol_err"] <= mesh["max_vol_err"] < 1e-9
+    face = Q.interface_mesh(spark, DIR).first()
+    assert face["converged"] or face["iters"] == 60
+    assert face["energy"] > 0 and face["energy_ratio"] < 0.7
