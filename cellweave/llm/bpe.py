@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, documents
+from .common import col, documents, lean
 
 #: Unicode White_Space, which \s means in the pattern.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Below this code point the letters and numbers are listed for the standard library's matcher.
 FAST_BELOW = 0x250
 
@@ -60,14 +60,14 @@ class MonoidBPE:
     #: Segments up to so many bytes are the leaves.
     LEAF = 6
     #: Entries of a memo before its older half is let go.
-    MEMO = 120_000
+    MEMO = 80_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, Splitter(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        self._firm: dict[tuple[int, int], bool] = {}
+        self._firm: dict[int, bool] = {}
         self._segments: dict[bytes, tuple[int, ...]] = {}
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -112,12 +112,13 @@ class MonoidBPE:
 
     def firm(self, left: int, right: int) -> bool:
         """Are two tokens side by side the encoding of their bytes?"""
-        known = self._firm.get((left, right))
+        key = left * len(self.bytes_of) + right
+        known = self._firm.get(key)
         if known is None:
-            if len(self._firm) > 8 * self.MEMO:
+            if len(self._firm) > 4 * self.MEMO:
                 self._firm.clear()
             a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self._firm[left, right] = self.merge(a + b) == (left, right)
+            known = self._firm[key] = self.merge(a + b) == (left, right)
         return known
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
@@ -203,42 +204,56 @@ def _vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def _add_binary(df: DataFrame, keep: list[str], source: str, out: str, work) -> DataFrame:
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.BinaryType(), True)])
+#: Bytes of results in a batch on its way back to the JVM: long texts leave in small batches.
+HELD = 4 << 20
+
+
+def _add_binary(df: DataFrame, keep: list[str], source: str, outs: list[str], work: Callable[[], Callable]) -> DataFrame:
+    """``keep`` and binary columns ``outs``, which the function made by ``work`` gives for ``source``."""
+    schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(out, T.BinaryType(), True) for out in outs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = None
+        f = work()
         for batch in batches:
-            f = f or work()
-            values, start, held = batch.column(len(keep)), 0, 0
-            got: list[bytes] = []
-            for x in values:
+            start, held, got = 0, 0, []
+
+            def done(batch=batch):
+                kept = [batch.column(i).slice(start, len(got)) for i in range(len(keep))]
+                return pa.RecordBatch.from_arrays([*kept, *[pa.array(x, pa.binary()) for x in zip(*got, strict=True)]], names=[*keep, *outs])
+
+            for x in batch.column(len(keep)):
                 got.append(f(x.as_py()))
-                held += len(got[-1])
-                if held > 8 << 20:  # long texts leave in small batches
-                    n = len(got)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, n) for i in range(len(keep))], pa.array(got, pa.binary())], names=[*keep, out])
-                    start, held, got = start + n, 0, []
+                held += sum(map(len, got[-1]))
+                if held > HELD:
+                    yield done()
+                    start, held, got = start + len(got), 0, []
             if got:
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start) for i in range(len(keep))], pa.array(got, pa.binary())], names=[*keep, out])
+                yield done()
 
-    return df.select(*[col(c) for c in keep], col(source).alias(out)).mapInArrow(run, schema)
+    return df.select(*[col(c) for c in keep], col(source).alias(outs[0])).mapInArrow(lean(run), schema)
 
 
-def encode_texts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids",
+def encode_texts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids", decoded: str | None = None,
                  vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """``keep`` columns and ``out``: each whole text's token ids as little-endian 32-bit numbers.
+    """``keep`` columns and ``out``: each whole text's token ids as little-endian 32-bit numbers;
+    with ``decoded``, also a column of that name with the bytes that the ids decode to.
 
     A null text counts as empty and has no ids; rows stay one to one, repeated rows included; an
-    empty table gives an empty table.  Columns that aren't in ``keep`` are not read.
+    empty table gives an empty table.  Columns that aren't in ``keep`` are not read.  Encoding and
+    decoding run in one Python worker, which holds one vocabulary.
     """
     name = vocabulary
 
     def work():
         bpe = tokenizer(*_vocabulary(name))
-        return lambda text: bpe.encode(text or "")
 
-    return _add_binary(df, list(keep), text_col, out, work)
+        def both(text: str | None) -> tuple[bytes, ...]:
+            ids = bpe.encode(text or "")
+            return (ids, bpe.decode(ids)) if decoded else (ids,)
+
+        return both
+
+    return _add_binary(df, list(keep), text_col, [out, decoded] if decoded else [out], work)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded",
@@ -248,17 +263,20 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("do
 
     def work():
         bpe = tokenizer(*_vocabulary(name))
-        return lambda ids: bpe.decode(ids or b"")
+        return lambda ids: (bpe.decode(ids or b""),)
 
-    return _add_binary(df, list(keep), ids_col, out, work)
+    return _add_binary(df, list(keep), ids_col, [out], work)
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    coded = encode_texts(docs)
-    both = decode_ids(coded, keep=("doc_id", "ids"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, digested from the ids and the
+    decoded bytes; nulls, empty and repeated rows as in ``encode_texts``."""
+    both = encode_texts(docs, decoded="decoded")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded bytes as digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    A null text counts as empty; repeated rows each have their row; an empty table gives none."""
     return encoded_documents(documents(spark, sf_dir))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +23,62 @@ NO_ID = 1 << 62
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``.  Only where that is unset
-    (single-machine tests) a local folder is made and set as the checkpoint folder.
+    It is what the session names in ``spark.checkpoint.dir``.  Only where that is unset on a single
+    machine (tests) a local folder is made and set as the checkpoint folder; on a cluster it must be
+    named.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             named = os.path.join(tempfile.gettempdir(), f"cellweave-{uuid.uuid4().hex}")
             sc.setCheckpointDir(named)
     return named
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+@contextlib.contextmanager
+def shuffles_end_here(spark: SparkSession) -> Iterator[None]:
+    """What runs inside lets go of its shuffle files when its result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def staged(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there,
-    it survives lost executors, and the planner knows its size."""
+    it survives lost executors, and the planner knows its size.  With ``by``, each value of that
+    column has a folder of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cellweave-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_end_here(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go() -> None:
+    """Returns freed memory of this Python worker to the machine; idle workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that lets go of its memory when it is done."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        let_go()
+
+    return wrapped
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes what ``staged`` wrote; for tables that no later plan reads."""
     spark = df.sparkSession

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, col, documents, fresh, in_bitmap, row_key, sift, staged
+from .common import bitmap, col, documents, fresh, in_bitmap, lean, row_key, sift, staged
 
 #: Lines under the rolling hash, one boundary in so many lines, and least lines of a chunk.
 WINDOW, EVERY, LEAST = 2, 3, 2
@@ -94,7 +93,7 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, only: np.ndarray |
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out[: len(names)], kinds)], names=names)
 
-    return rows.mapInArrow(run, "h long, key long, first int" + ", body string" * (only is not None))
+    return rows.mapInArrow(lean(run), "h long, key long, first int" + ", body string" * (only is not None))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,12 +138,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wide = docs.select(*[col(c) for c in rest], row_key(col(id_col), col(text_col)).alias(key), col(text_col).cast("string").alias(text)).withColumn(mark, F.xxhash64(col(key)))
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(text_col, T.StringType()), *[T.StructField(c, T.IntegerType()) for c in added]])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, none = batch.column(len(rest) + 1), pa.array(np.zeros(batch.num_rows, np.int32))
-            lines = pc.add(pc.count_substring(body, "\n"), 1).fill_null(0).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], body, lines, none, none], names=schema.names)
-
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], ([], [], [])
@@ -156,12 +149,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     c.append(x)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(rest))], pa.array(texts, pa.string()), *[pa.array(c, pa.int32()) for c in counts]], names=schema.names)
 
-    same = sift(wide, mark, screen, False).mapInArrow(counted, schema)
+    body, none = col(text), F.lit(0).cast("int")
+    lines = F.coalesce(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1, none).cast("int")
+    same = sift(wide, mark, screen, False).select(*[col(c) for c in rest], body.alias(text_col), lines.alias(added[0]), none.alias(added[1]), none.alias(added[2]))
     was = fresh(docs, "dedup_gone")[0]
     losing = sift(wide, mark, screen, True)
     # merged at every size: the plan doesn't turn with the number of removed chunks
     losing = losing.join(gone.select(F.col("key").alias("gone_of"), F.col("gone").alias(was)).hint("merge"), col(key) == F.col("gone_of"), "left")
-    out = same.union(losing.select(*[col(c) for c in rest], col(text), col(was)).mapInArrow(rewrite, schema))
+    out = same.union(losing.select(*[col(c) for c in rest], col(text), col(was)).mapInArrow(lean(rewrite), schema))
     return out.select(*[col(c) for c in names], *added)
 
 
