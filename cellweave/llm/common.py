@@ -79,13 +79,13 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes what ``staged`` wrote; for tables that no later plan reads."""
+def drop_staged(df: DataFrame, only: str = "") -> None:
+    """Deletes what ``staged`` wrote, or only its folder of that name; for tables that no later plan reads."""
     spark = df.sparkSession
     root = shared_dir(spark).rstrip("/")
     jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/cellweave-" in folder and root.split(":")[-1].lstrip("/") in folder:
+        if folder.endswith(only) and "/cellweave-" in folder and root.split(":")[-1].lstrip("/") in folder:
             at = jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -1,4 +1,4 @@
-"""Packed exchanges: counting and looking up hashed keys in blocks of columns instead of rows.
+"""Packed exchanges: counting hashed keys in blocks of columns instead of rows.
 
 A block of documents holds millions of hashed keys.  As rows they would cost a shuffle more than
 they weigh, so a block's distinct keys travel as a few packed arrays, one row for each range of
@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import col
 
 PACKED = "p int, block long, payload binary"
 
@@ -70,9 +73,9 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], order[first]
 
 
-def ranges_for(df: DataFrame, least: int = 128, most: int = 1 << 16, mb: int = 4) -> int:
-    """How many ranges of hashes (a power of two): one for each few MB of the input's estimated size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def ranges_for(df: DataFrame, text_col: str, least: int = 128, most: int = 1 << 16, mb: int = 4) -> int:
+    """How many ranges of hashes (a power of two): one for each few MB of the texts, whose bytes are counted."""
+    size = df.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     return 1 << max(least.bit_length() - 1, min(most.bit_length() - 1, (size // (mb << 20)).bit_length()))
 
 
@@ -104,49 +107,3 @@ def reduced(df: DataFrame, work: Callable[[int, list[tuple[int, list[np.ndarray]
         return work(t["p"][0].as_py(), [(b, unpack(x.as_py())) for b, x in zip(t["block"].to_pylist(), t["payload"])])
 
     return df.groupBy("p").applyInArrow(run, schema)
-
-
-def lookup(requests: DataFrame, table: DataFrame) -> DataFrame:
-    """Each block's request (ascending keys) answered: packed values, NaN for absent keys.
-
-    table: packed rows of (ascending keys, values) with block -1; requests: packed (ascending
-    keys).  The answer rows have the request's block and range.
-    """
-
-    def work(p: int, parts: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
-        have = [a for b, a in parts if b < 0]
-        keys = np.concatenate([a[0] for a in have]) if have else np.zeros(0, np.uint64)
-        values = np.concatenate([a[1] for a in have]) if have else np.zeros(0)
-        order = np.argsort(keys)
-        keys, values = np.append(keys[order], 0), np.append(values[order], np.nan)
-        out = []
-        for b, (asked,) in ((b, a) for b, a in parts if b >= 0):
-            at = np.searchsorted(keys[:-1], asked)
-            out.append((p, b, pack(np.where(keys[at] == asked, values[at], np.nan) if len(keys) > 1 else np.full(len(asked), np.nan))))
-        return as_table(out)
-
-    return reduced(requests.union(table), work, PACKED)
-
-
-def packed_table(df: DataFrame, ranges: int) -> DataFrame:
-    """``key, value`` rows as packed rows of block -1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, n = [], [], 0
-
-        def flush():
-            k = np.concatenate(keys)
-            order = np.argsort(k)
-            return batch(list(split_sorted(-1, k[order], ranges, np.concatenate(values)[order])))
-
-        for b in batches:
-            keys.append(np.asarray(b.column(0)).view(np.uint64))
-            values.append(np.asarray(b.column(1), np.float64))
-            n += len(keys[-1])
-            if n > 2_000_000:
-                yield flush()
-                keys, values, n = [], [], 0
-        if n:
-            yield flush()
-
-    return df.select("key", "value").mapInArrow(run, PACKED)

@@ -196,7 +196,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key from its text above all ids, and null in these columns.  Other columns are not read.
     """
     rows = docs.select(row_key(col(id_col), col(text_col)).alias("key"), col(text_col).cast("string").alias("text")).where("text is not null")
-    sc, ranges = docs.sparkSession.sparkContext, ranges_for(docs)
+    sc, ranges = docs.sparkSession.sparkContext, ranges_for(rows, "text")
 
     def count(batches):
         for seq, (words, _, _, at, _) in enumerate(suffixes(batches)):

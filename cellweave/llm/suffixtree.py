@@ -1,26 +1,29 @@
 """LM scoring with a probabilistic suffix tree.
 
-Symbols are words and one end for each text.  A state is a context of up to ``depth`` words (or the
-start of a text).  A context is a candidate if it occurs ``least`` times in the training texts, and
-is retained by a divergence test: what its next-symbol distribution gains, in log likelihood with
-each occurrence left out of its own prediction, over its parent (the context without its first
-word) must exceed the logarithm of the number of training tokens.
-
-A retained state's distribution interpolates with that of its longest retained suffix:
+Symbols are words and one end for each text; a text's first word follows a start.  A state is a
+context of any number of symbols.  A context is a candidate if it occurs ``least`` times in the
+training texts, and is retained by a divergence test: what its next-symbol distribution gains, in
+log likelihood with each occurrence left out of its own prediction, over its parent (the longest
+retained proper suffix) must exceed the logarithm of the number of training tokens.  Lengths go up
+by one until no candidate of a length is retained.
+
+A retained state's distribution interpolates with its parent's:
 ``P(w|s) = c(s,w) / D + (k / D) * P(w|parent)``, where ``c`` counts successors seen at least twice,
 ``k`` is one plus the number seen once (their mass goes to the parent) and ``D`` makes it sum to 1;
 the root is the smoothed word distribution.  A position is scored in the longest suffix state of
 its context.
 
-Everything is counted over all training texts: in blocks of columns, exchanged by ranges of hashes
-(see ``exchange``).  Words are known by 64-bit hashes.  Contexts of very frequent words are spread
-over all ranges by their successors; there are at most a fixed number of these.
+Texts are tokenised once, into blocks that are staged as packed numbers.  For each length there is
+one exchange: a block sends its distinct (context, successor) pairs with their training counts and
+what the parent gives them to the ranges of the contexts' hashes, and gets the whole counts and the
+contexts' weights back.  The count of a pair is that of the next longer context one position on, so
+a block knows which of its contexts are candidates before it asks.  A very frequent context is cut
+by its successors into as many shards as it has shares; of these, a fixed number for each range,
+sums are added up on the driver.  Contexts are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,13 +34,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import bitmap, col, documents, drop_staged, in_bitmap, remainder, shared_dir, staged
-from .exchange import PACKED, as_table, batch, lookup, mix, pack, packed_table, pair, range_of, ranges_for, reduced, split_sorted, summed, unpack
+from .common import col, documents, drop_staged, lean, let_go, remainder, staged
+from .exchange import mix, pack, pair, range_of, ranges_for, split_sorted, summed, unpack
 
 #: Tokens of a block; a longer text is a block of its own.
-BLOCK = 750_000
-#: Hashes of the end, and of what stands before a text's first word.
-END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
+BLOCK = 400_000
+#: The hash of the end; the id of what stands before a text's first word.
+END, START = np.uint64(0x6A09E667F3BCC909), 0
+#: Rows of all exchanges: range, block, length of context (-1: the block itself), kind, arrays, two numbers.
+ROWS = "p int, block long, level int, kind int, payload binary, a long, b long"
+NAMES = [c.split()[0] for c in ROWS.split(", ")]
+#: Kinds of rows: a block or its answers for whole contexts, answers for shards, what ranges found of whole contexts, of shards.
+WHOLE, SHARDS, FOUND, PARTS = 0, 1, 2, 3
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -49,19 +57,34 @@ def word_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
-    """(block id, tokens, starts of texts, ids, held-out marks) of columns id, held, text."""
-    base, seq = TaskContext.get().partitionId() << 24, 0
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    a = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(a, kinds, strict=True)], names=NAMES)
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the narrowest kind that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def runs_of(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """(block id, token hashes, lengths of texts, ids, held-out marks) of columns id, held, text."""
+    base, seq = TaskContext.get().partitionId() << 32, 0
     toks, ids, held, n = [], [], [], 0
 
     def done():
-        lens = [len(t) for t in toks]
-        return base + seq, np.concatenate(toks), np.concatenate(([0], np.cumsum(lens)[:-1])), pa.array(ids, pa.int64()), pa.array(held, pa.bool_())
+        return base + seq, np.concatenate(toks), np.array([len(t) for t in toks]), pa.array(ids, pa.int64()), np.array(held, bool)
 
     for b in batches:
-        for i, h, text in zip(b.column(0), b.column(1), b.column(2)):
+        for i, h, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
             t = word_hashes(text.as_py())
-            if n and n + len(t) > BLOCK:
+            if n and n + len(t) > size:
                 yield done()
                 seq, toks, ids, held, n = seq + 1, [], [], [], 0
             toks.append(t)
@@ -72,401 +95,316 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield done()
 
 
-def contexts(tokens: np.ndarray, starts: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For lengths 1 to depth: (state hash, is there such a context) at each position.
-
-    A state of length d is the pair of the state of length d - 1 one token earlier and the token
-    before: its own occurrences are what the next length up counts."""
-    at = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
-    prev = np.concatenate(([START], tokens[:-1]))
-    prev[starts] = START
-    out = [(prev, np.ones(len(tokens), bool))]
-    for d in range(2, depth + 1):
-        before = np.concatenate((out[-1][0][:1], out[-1][0][:-1]))
-        out.append((pair(before, prev), at >= d - 1))
-    return out
-
-
-def by_frequency(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, most frequent first, and each key's place among them): small numbers pack well."""
-    values, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    return values[order], rank[place]
-
-
-def before(word: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
-    """The place of the word before each token; ``start`` where a text begins."""
-    out = np.concatenate(([start], word[:-1])).astype(np.int64)
-    out[starts] = start
-    return out
-
-
-def grouped(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A hash of each pair whose order is that of the states."""
-    return (s & np.uint64(0xFFFFFFFF00000000)) | (pair(s, w) >> np.uint64(32))
-
-
-class Training:
-    """The counts and the model; each stage is written to the shared folder."""
-
-    def __init__(self, rows: DataFrame, depth: int, least: int):
-        self.rows, self.depth, self.least = rows, depth, least
-        self.spark = rows.sparkSession
-        self.ranges = ranges_for(rows)
-
-    def settle(self) -> None:
-        """Lets Spark drop the shuffle files of stages that are done and written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def words(self) -> DataFrame:
-        ranges = self.ranges
-
-        def count(batches):
-            for block, tokens, _, _, _ in blocks(batches):
-                w, n = np.unique(tokens, return_counts=True)
-                yield batch(list(split_sorted(block, w, ranges, n.astype(np.uint32))))
-
-        def add(p, parts):
-            w, n, _ = summed(np.concatenate([a[0] for _, a in parts]), np.concatenate([a[1].astype(np.int64) for _, a in parts]))
-            return pa.table({"key": w.view(np.int64), "value": n.astype(np.float64)})
-
-        return staged(reduced(self.train_rows().mapInArrow(count, PACKED), add, "key long, value double"), "words")
-
-    def train_rows(self) -> DataFrame:
-        return self.rows.where(~F.col("held"))
-
-    def fit(self) -> None:
-        self.word_table = self.words()
-        n, v = self.word_table.agg(F.sum("value"), F.count("*")).first()
-        self.n, self.v = int(n or 0), int(v)
-        self.kv = [self.word_table.select(F.col("key"), F.col("value"))]
-        sc = self.spark.sparkContext
-        seen = self.word_table.where(F.col("value") >= self.least)
-        # states so frequent that one range would hold much more than its share: at most 4 * ranges
-        often = self.n / (4 * self.ranges)
-        hot = self.word_table.where(F.col("value") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
-        hot = np.sort(np.append(hot, START))
-        screen = sc.broadcast(bitmap(seen, "key"))
-        retained, successors = [], []
-        for d in range(1, self.depth + 1):
-            counts = self.successors(d, screen, hot)
-            model = self.test(d, counts)
-            self.kv.append(model.where("kind <> 2").select("key", "value"))
-            retained.append(model.where("kind = 0").select("state"))
-            successors.append(model.where("kind = 1").select("key"))
-            if d < self.depth:
-                screen = sc.broadcast(bitmap(self.frequent(counts, self.least), "h"))
-                first = counts
-                hot = np.sort(self.frequent(counts, often).toArrow()["h"].to_numpy().view(np.uint64))
+def pair_order(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the pairs by context, positions in it where a new pair begins, each pair's number):
+    pairs are told apart by the upper half of the context's hash and 32 bits of the pair's."""
+    g = (s & np.uint64(0xFFFFFFFF00000000)) | (pair(s, w.astype(np.uint64)) >> np.uint64(32))
+    order = np.argsort(g)
+    g = g[order]
+    new = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+    of = np.empty(len(g), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), of
+
+
+def gains(n: np.ndarray, prob: np.ndarray, of: np.ndarray, total: np.ndarray, once: np.ndarray, once_here: np.ndarray) -> np.ndarray:
+    """What each context's successors gain; a pair seen once is predicted by the parent alone."""
+    k, c2 = once + 1.0, (total - once).astype(float)
+    below = np.log(np.maximum(c2 - 1 + k, 1))
+    two = n >= 2
+    n, prob, at = n[two].astype(float), prob[two].astype(float), of[two]
+    each = np.where(n > 2, n * (np.log((n - 1) / prob + k[at]) - below[at]), 2 * (np.log(k[at] + 1) - below[at]))
+    return np.bincount(at, each, len(total)) + once_here * (np.log(k) - below)
+
+
+class Model:
+    """What all blocks need to know: sizes, thresholds, and the very frequent contexts by length."""
+
+    def __init__(self, least: int, ranges: int):
+        self.least, self.ranges = least, ranges
+        self.n = self.v = self.texts = 0
+        self.hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    @property
+    def often(self) -> float:
+        """A context that occurs more often would fill a good part of a range: at most 4 for each range do."""
+        return max(self.n / (4 * self.ranges), 2.0 * self.least)
+
+
+class Block:
+    """A block of texts and what its exchanges have told so far."""
+
+    def __init__(self, model: Model, rows: list[tuple[int, int, int, bytes]]):
+        """rows: (level, kind, range, payload) of the block itself and of its answers."""
+        rows = sorted(rows, key=lambda r: r[:3])
+        self.model = model
+        word, lens, ids, no_id, held, place = unpack(rows[0][3])
+        self.lens, self.ids, self.no_id, self.held = lens.astype(np.int64), ids, no_id, held
+        got: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        for level, kind, _, payload in rows[1:]:
+            got.setdefault((level, kind), []).append(unpack(payload))
+        self.got = {k: [np.concatenate(x) for x in zip(*v, strict=True)] for k, v in got.items()}
+        known, count = self.got[0, WHOLE]
+        self.w, self.count = known[place][word], count[place][word].astype(np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.train = np.repeat(held == 0, self.lens)
+        self.at = np.arange(len(word)) - np.repeat(self.starts, self.lens)
+        self.prev = np.concatenate(([START], self.w[:-1]))
+        self.prev[self.starts] = START
+        self.base = (self.count + 0.5) / (model.n + 0.5 * (model.v + 1))
+        # contexts of length 1
+        self.prob, self.level = self.base.copy(), 1
+        self.s = mix(self.prev.astype(np.uint64), 20)
+        self.times = np.concatenate(([0], self.count[:-1]))
+        self.times[self.starts] = model.texts
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
+        """(kind, positions, keys, pair order) of the candidates: whole contexts, then shards."""
+        active = self.times >= self.model.least
+        heavy = self.times > self.model.often
+        for kind, mask in ((WHOLE, active & ~heavy), (SHARDS, active & heavy)):
+            pos = np.flatnonzero(mask)
+            key = self.s[pos]
+            if kind == SHARDS:
+                shards = np.ceil(self.times[pos] / self.model.often).astype(np.uint64)
+                key = pair(key, mix(self.w[pos].astype(np.uint64), 21) % np.maximum(shards, 1))
+            yield kind, pos, key, pair_order(key, self.w[pos])
+
+    def ask(self, block: int) -> Iterator[tuple]:
+        """Rows of (keys, words, training counts, the parent's probabilities[, contexts])."""
+        for kind, pos, key, (order, first, of) in self.pairs():
+            i = order[first]
+            n = np.bincount(of, self.train[pos], len(i)).astype(np.int64)
+            p = range_of(key[i], self.model.ranges)
+            edges = runs_of(p)
+            for lo, hi in zip(edges, np.append(edges[1:], len(p)), strict=True):
+                j = i[lo:hi]
+                arrays = [key[j], small(self.w[pos[j]]), small(n[lo:hi]), self.prob[pos[j]].astype(np.float32)]
+                if kind == SHARDS:
+                    arrays.append(self.s[pos[j]])
+                yield int(p[lo]), block, self.level, kind, pack(*arrays, ascending=1), 0, 0
+
+    def learn(self) -> None:
+        """Takes this length's answers in and goes on to the next."""
+        count = np.zeros(len(self.w), np.int64)
+        for kind, pos, key, (order, first, of) in self.pairs():
+            if not len(pos):
+                continue
+            if kind == WHOLE:
+                c, k, d = self.got[self.level, kind]
+                run = np.zeros(len(first), np.int64)
+                run[runs_of(key[order[first]])[1:]] = 1
+                at = np.cumsum(run)[of]
+                k, d = k[at], d[at]
             else:
-                drop_staged(counts)
-                if d > 1:
-                    drop_staged(first)
-            self.settle()
-        union = lambda frames: reduce(DataFrame.union, frames)
-        # bitmaps of fixed size keep most lookups that would find nothing out of the exchange
-        self.screen = sc.broadcast(bitmap(union(retained), "state"))
-        self.pairs = sc.broadcast(bitmap(union(successors), "key", 26))
-
-    def successors(self, d: int, screen, hot: np.ndarray) -> DataFrame:
-        """Packed rows by range: (states, words, counts) of successors seen twice, and of each
-        state (state, total, successors seen once); a hot state's are parts."""
-        ranges, depth = self.ranges, d
-
-        def count(batches):
-            for block, tokens, starts, _, _ in blocks(batches):
-                s, ok = contexts(tokens, starts, depth)[-1]
-                ok = ok & (in_bitmap(screen.value, s) | (s == START))
-                s, w = s[ok], tokens[ok]
-                _, n, at = summed(grouped(s, w), np.ones(len(s), np.uint32))
-                s, w, n = s[at], w[at], n.astype(np.uint32)
-                spread = np.isin(s, hot)
-                rows = list(cut(block, s[~spread], w[~spread], n[~spread], range_of(s[~spread], ranges)))
-                if spread.any():
-                    s, w, n = s[spread], w[spread], n[spread]
-                    p = range_of(pair(s, w), ranges)
-                    order = np.argsort(p, kind="stable")
-                    rows += cut(block, s[order], w[order], n[order], p[order])
-                yield batch(rows)
-
-        def cut(block, s, w, n, p):
-            edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
-            for lo, hi in zip(edges, np.append(edges[1:], len(p))):
-                yield int(p[lo]), block, pack(s[lo:hi], w[lo:hi], n[lo:hi], ascending=1)
-
-        def add(p, parts):
-            s, w = (np.concatenate([a[i] for _, a in parts]) for i in (0, 1))
-            _, n, at = summed(grouped(s, w), np.concatenate([a[2].astype(np.int64) for _, a in parts]))
-            s, w = s[at], w[at]
-            if (s[1:] < s[:-1]).any():  # states that agree in 32 bits
-                order = np.argsort(s, kind="stable")
-                s, w, n = s[order], w[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            total, once = np.add.reduceat(n, first), np.add.reduceat((n == 1).astype(np.int64), first)
-            state = s[first]
-            two = n >= 2
-            return as_table([(p, p, pack(s[two], w[two], n[two], state, total, once, ascending=1))])
-
-        self.hot = hot
-        return staged(reduced(self.train_rows().mapInArrow(count, PACKED), add, PACKED), f"successors{d}")
-
-    def frequent(self, counts: DataFrame, least: float) -> DataFrame:
-        """The hash of each (state, word) seen ``least`` times: states of the next length."""
-
-        def run(batches):
-            for b in batches:
-                for x in b.column(2):
-                    s, w, n, *_ = unpack(x.as_py())
-                    go = n >= least
-                    yield pa.RecordBatch.from_arrays([pa.array(pair(s[go], w[go]).view(np.int64))], names=["h"])
-
-        return counts.mapInArrow(run, "h long")
-
-    def test(self, d: int, counts: DataFrame) -> DataFrame:
-        """``kind, key, value, state`` of retained states: kind 0, a state's weight k / D of its
-        parent; kind 3, its D; kind 1, a successor's count.  d: the states' length."""
-        least, n_all, v_all, ranges, hot = self.least, self.n, self.v, self.ranges, self.hot
-        limit = np.log(max(n_all, 2))
-        parts_of_hot = {}
-        if len(hot):  # at most 4 * ranges states with a part in each range
-            def hot_parts(batches):
-                for b in batches:
-                    for x in b.column(2):
-                        *_, state, total, once = unpack(x.as_py())
-                        at = np.isin(state, hot)
-                        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (state[at].view(np.int64), total[at], once[at])], names=["s", "t", "o"])
-
-            sums = counts.mapInArrow(hot_parts, "s long, t long, o long").groupBy("s").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-            parts_of_hot = {int(np.int64(r["s"]).view(np.uint64)): (r["t"], r["o"]) for r in sums.collect()}
-        # the state without its first word: known for a length by the word before the position
-        parents = self.parents if d > 1 else None
-
-        def ask(arrays, parent):
-            """Keys to look up for a part: the words, and, above length 1, the parent's share and weight."""
-            s, w, n, *_ = arrays
-            keys = [mix(w, 10)] + ([pair(parent, w), mix(parent, 11), mix(parent, 12)] if parent is not None else [])
-            return np.unique(np.concatenate(keys))
-
-        with_parent = self.with_parents(counts) if d > 1 else counts
-
-        def requests(batches):
-            for b in batches:
-                for p, x in zip(b.column(1), b.column(2)):
-                    arrays = unpack(x.as_py())
-                    yield batch(list(split_sorted(p.as_py(), ask(arrays, arrays[6] if depth > 1 else None), ranges)))
-
-        depth = d
-        answers = lookup(with_parent.mapInArrow(requests, PACKED), self.packed_kv())
-        schema = "kind int, key long, value double, state long"
-
-        def decide(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not len(a):
-                return pa.table({n: pa.array([], k) for n, k in (("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("state", pa.int64()))})
-            arrays = unpack(a["payload"][0].as_py())
-            s, w, n, state, total, once = arrays[:6]
-            parent = arrays[6] if depth > 1 else None
-            keys = ask(arrays, parent)
-            order = np.argsort(b["p"].to_numpy())
-            values = np.concatenate([unpack(b["payload"][int(i)].as_py())[0] for i in order]) if len(b) else np.zeros(0)
-            get = lambda k: values[np.searchsorted(keys, k)]
-            prob = (np.nan_to_num(get(mix(w, 10))) + 0.5) / (n_all + 0.5 * (v_all + 1))
-            if parent is not None:
-                times, weight, whole = np.nan_to_num(get(pair(parent, w))), get(mix(parent, 11)), get(mix(parent, 12))
-                prob = np.where(np.isnan(weight), prob, times / whole + weight * prob)
-            total, once = total.astype(float), once.astype(float)
-            is_hot = np.isin(state, hot)
-            for i in np.flatnonzero(is_hot):
-                total[i], once[i] = parts_of_hot[int(state[i])]
-            of = np.searchsorted(state, s)
-            k, c2 = once + 1, total - once
-            below = np.log(np.maximum(c2 - 1 + k, 1))
-            gain_w = np.where(n > 2, n * (np.log((n - 1) / prob + k[of]) - below[of]), 2 * (np.log(k[of] + 1) - below[of]))
-            gain = np.bincount(of, gain_w, len(state)).astype(float)
-            once_here = np.where(is_hot, arrays[5], once)
-            gain += once_here * (np.log(k) - below)
-            good = (total >= least) & ((gain > limit) | is_hot)
-            out = [(0, mix(state[good], 11), (k / (c2 + k))[good], state[good]), (3, mix(state[good], 12), (c2 + k)[good], state[good])]
-            go = good[of]
-            out.append((1, pair(s[go], w[go]), n[go].astype(float), s[go]))
-            out.append((2, state[is_hot], gain[is_hot], state[is_hot]))
-            return pa.table({
-                "kind": np.concatenate([np.full(len(o[1]), o[0], np.int32) for o in out]), "key": np.concatenate([o[1] for o in out]).view(np.int64),
-                "value": np.concatenate([o[2] for o in out]), "state": np.concatenate([o[3] for o in out]).view(np.int64),
-            })
-
-        found = staged(with_parent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(decide, schema), f"states{d}")
-        if d > 1:
-            drop_staged(with_parent)
-        if len(hot):
-            gains = {r["state"]: r["g"] for r in found.where("kind = 2").groupBy("state").agg(F.sum("value").alias("g")).collect()}
-            out = [k for k, g in gains.items() if g <= limit]
-            found = found.where(~F.col("state").isin(out)) if out else found
-            # each part of a hot state named its weight: one is enough
-            found = found.where("kind = 1").union(found.where("kind in (0, 3)").dropDuplicates(["kind", "state"]))
-        if d < self.depth:
-            self.parents = counts
-        return found
-
-    def with_parents(self, counts: DataFrame) -> DataFrame:
-        """Adds to each part the parent of every successor's state: a state of length d is the hash
-        of (state of length d - 1, last word); its parent is the state of its last d - 1 words."""
-        ranges, depth = self.ranges, self.depth
-
-        def known(batches):
-            for b in batches:
-                for x in b.column(2):
-                    s, w, *_ = unpack(x.as_py())
-                    h = pair(s, w)
-                    order = np.argsort(h)
-                    yield batch(list(split_sorted(-1, h[order], ranges, w[order])))
-
-        def requests(batches):
-            for b in batches:
-                for p, x in zip(b.column(1), b.column(2)):
-                    yield batch(list(split_sorted(p.as_py(), np.unique(unpack(x.as_py())[0]), ranges)))
-
-        def answer(p, parts):
-            have = [a for b, a in parts if b < 0]
-            keys = np.concatenate([a[0] for a in have]) if have else np.zeros(0, np.uint64)
-            words = np.concatenate([a[1] for a in have]) if have else np.zeros(0, np.uint64)
-            order = np.argsort(keys)
-            keys, words = keys[order], words[order]
-            out = []
-            for b, (asked,) in ((b, a) for b, a in parts if b >= 0):
-                at = np.searchsorted(keys, asked)
-                out.append((p, b, pack(words[np.minimum(at, max(len(words) - 1, 0))] if len(words) else np.zeros(len(asked), np.uint64))))
-            return as_table(out)
-
-        answers = reduced(counts.mapInArrow(requests, PACKED).union(self.parents.mapInArrow(known, PACKED)), answer, PACKED)
-
-        def join(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not len(a):
-                return as_table([])
-            arrays = unpack(a["payload"][0].as_py())
-            states = np.unique(arrays[0])
-            order = np.argsort(b["p"].to_numpy())
-            words = np.concatenate([unpack(b["payload"][int(i)].as_py())[0] for i in order]) if len(b) else np.zeros(0, np.uint64)
-            return as_table([(a["p"][0].as_py(), a["block"][0].as_py(), pack(*arrays, words[np.searchsorted(states, arrays[0])], ascending=1))])
-
-        return staged(counts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, PACKED), "parents")
-
-    def packed_kv(self) -> DataFrame:
-        words = self.kv[0].mapInArrow(_word_keys, "key long, value double")
-        out = packed_table(words, self.ranges)
-        for t in self.kv[1:]:
-            out = out.union(packed_table(t, self.ranges))
-        return out
-
-
-def _word_keys(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix(np.asarray(b.column(0)).view(np.uint64), 10).view(np.int64)), b.column(1)], names=["key", "value"])
-
-
-def staged_apart(packed: DataFrame):
-    """Packed rows staged with bodies (p below 0) and requests in folders of their own, and what
-    deletes the requests' folder."""
-    spark = packed.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cellweave-asked-{uuid.uuid4().hex}"
-    packed.withColumn("body", F.col("p") < 0).write.partitionBy("body").parquet(path)
-
-    def drop() -> None:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/body=false")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    return spark.read.schema(PACKED + ", body boolean").parquet(path), drop
+                (c,) = self.got[self.level, kind]
+                states, hot_k, hot_d = self.model.hot[self.level]
+                at = np.searchsorted(states, self.s[pos])
+                k, d = hot_k[at], hot_d[at]
+            c = c[of].astype(np.int64)
+            count[pos] = c
+            kept = k > 0
+            at = pos[kept]
+            own = np.where(c >= 2, c, 0)[kept]
+            self.prob[at] = own / d[kept] + k[kept] / d[kept] * self.prob[at]
+        self.level += 1
+        self.times = np.concatenate(([0], count[:-1]))
+        self.times[self.starts] = 0
+        self.s = pair(np.concatenate((self.s[:1], self.s[:-1])), self.prev.astype(np.uint64))
+
+    def scores(self) -> pa.Table:
+        lens, starts = self.lens, self.starts
+        add = lambda x: np.add.reduceat(x, starts)
+        return pa.table({
+            "doc_id": pa.array(self.ids, mask=self.no_id.astype(bool)), "held_out": self.held.astype(bool), "n_tokens": lens,
+            "n_known": add((self.count > 0).astype(np.int64)), "train_tokens": np.full(len(lens), self.model.n, np.int64),
+            "base_score": add(np.log10(self.base)), "score": add(np.log10(self.prob)),
+        })
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least: int = 16) -> DataFrame:
+def _rows_of(t: pa.Table) -> list[tuple[int, int, int, bytes]]:
+    return [(level, kind, p, x.as_py()) for level, kind, p, x in zip(t["level"].to_pylist(), t["kind"].to_pylist(), t["p"].to_pylist(), t["payload"], strict=True)]
+
+
+def read_blocks(rows: DataFrame, ranges: int) -> DataFrame:
+    """Blocks (level -1, a: training texts) and, for each, its words by range with training counts."""
+
+    def run(batches):
+        for block, tokens, lens, ids, held in blocks(batches):
+            words, word, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            by_count = np.argsort(-n, kind="stable")  # frequent words have small numbers, which pack well
+            number = np.empty(len(words), np.int64)
+            number[by_count] = np.arange(len(words))
+            body = pack(small(number[word]), small(lens), np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.uint8), held.astype(np.uint8), small(by_count))
+            trained = np.bincount(word, np.repeat(~held, lens), len(words)).astype(np.int64)
+            yield as_batch([(-1, block, -1, WHOLE, body, int((~held).sum()), 0)])
+            yield as_batch([(p, block, 0, WHOLE, x, 0, 0) for p, _, x in split_sorted(block, words, ranges, small(trained))])
+
+    return rows.mapInArrow(lean(run), ROWS)
+
+
+def number_words(asked: DataFrame, ranges: int) -> DataFrame:
+    """Answers (level 0) with each word's number, small for frequent words, and training count; and
+    a row for each range with its training tokens and distinct training words."""
+
+    def work(t: pa.Table) -> pa.Table:
+        p = t["p"][0].as_py()
+        parts = [unpack(x.as_py()) for x in t["payload"]]
+        keys, count, _ = summed(np.concatenate([a[0] for a in parts]), np.concatenate([a[1].astype(np.int64) for a in parts]))
+        number = np.empty(len(keys), np.int64)
+        number[np.argsort(-count, kind="stable")] = 1 + p + ranges * np.arange(len(keys))
+        out = [(p, -1, 0, FOUND, None, int(count.sum()), int((count > 0).sum()))]
+        for block, (asked_keys, _) in zip(t["block"].to_pylist(), parts, strict=True):
+            at = np.searchsorted(keys, asked_keys)
+            out.append((p, block, 0, WHOLE, pack(small(number[at]), small(count[at])), 0, 0))
+        return pa.Table.from_batches([as_batch(out)])
+
+    return asked.groupBy("p").applyInArrow(work, ROWS)
+
+
+def count_contexts(asked: DataFrame, least: int, limit: float, ranges: int) -> DataFrame:
+    """Answers to ``Block.ask``: counts of the pairs and, for runs of a context, weight k (0: not
+    retained) and D; rows with the number of retained contexts, and what shards have found."""
+
+    def work(t: pa.Table) -> pa.Table:
+        p, level = t["p"][0].as_py(), t["level"][0].as_py()
+        kinds, blocks_, out = t["kind"].to_pylist(), t["block"].to_pylist(), []
+        for kind in (WHOLE, SHARDS):
+            mine = [i for i, k in enumerate(kinds) if k == kind]
+            if not mine:
+                continue
+            parts = [unpack(t["payload"][i].as_py()) for i in mine]
+            s, w, n = (np.concatenate([a[j].astype(k) for a in parts]) for j, k in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
+            prob = np.concatenate([a[3] for a in parts])
+            order, first, of = pair_order(s, w)
+            whole = np.bincount(of, n, len(first)).astype(np.int64)
+            i = order[first]
+            # contexts whose hashes agree in the upper half lie mixed: number them exactly
+            state, number = np.unique(s[i], return_inverse=True)
+            total = np.bincount(number, whole, len(state)).astype(np.int64)
+            once = np.bincount(number, whole == 1, len(state)).astype(np.int64)
+            if kind == WHOLE:
+                gain = gains(whole, prob[i], number, total, once, once)
+                good = (total >= least) & (gain > limit)
+                k, d = np.where(good, once + 1, 0), total + 1  # D = (total - once) + (once + 1)
+                out.append((p, -1, level, FOUND, None, int(good.sum()), 0))
+            else:
+                real = np.concatenate([a[4] for a in parts])[i]
+                of_state = np.zeros(len(state), np.uint64)
+                of_state[number] = real
+                two = whole >= 2
+                out.append((p, -1, level, PARTS, pack(of_state, total, once, small(whole[two]), prob[i][two], small(number[two])), 0, 0))
+            lo = 0
+            for at, a in zip(mine, parts, strict=True):
+                mine_of = of[lo : lo + len(a[0])]
+                lo += len(a[0])
+                arrays = [small(whole[mine_of])]
+                if kind == WHOLE:
+                    heads = number[mine_of[runs_of(a[0])]]
+                    arrays += [small(k[heads]), small(d[heads])]
+                out.append((p, blocks_[at], level, kind, pack(*arrays), 0, 0))
+        return pa.Table.from_batches([as_batch(out)])
+
+    return asked.groupBy("p").applyInArrow(work, ROWS)
+
+
+def hot_contexts(found: DataFrame, limit: float, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """((contexts ascending, k or 0, D), how many are retained) of the contexts that were cut into
+    shards.  Their number, checked against ``most``, is a fixed multiple of the number of ranges."""
+    parts = found.where(F.col("kind") == PARTS).select("payload")
+
+    def sums(batches):
+        for b in batches:
+            for x in b.column(0):
+                s, total, once, *_ = unpack(x.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(total), pa.array(once)], names=["s", "t", "o"])
+
+    got = parts.mapInArrow(sums, "s long, t long, o long").groupBy("s").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).limit(most + 1).toArrow()
+    if len(got) > most:
+        raise RuntimeError("more very frequent contexts than there can be")
+    if not len(got):
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+    s, total, once = got["s"].to_numpy().view(np.uint64), got["t"].to_numpy(), got["o"].to_numpy()
+    order = np.argsort(s)
+    s, total, once = s[order], total[order], once[order]
+    known = found.sparkSession.sparkContext.broadcast((s, total, once))
+
+    def gained(batches):
+        states, totals, onces = known.value
+        for b in batches:
+            for x in b.column(0):
+                mine, _, once_here, n, prob, of = unpack(x.as_py())
+                at = np.searchsorted(states, mine)
+                g = gains(n, prob, of.astype(np.int64), totals[at], onces[at], once_here)
+                yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(g)], names=["s", "g"])
+
+    gain = parts.mapInArrow(gained, "s long, g double").groupBy("s").agg(F.sum("g").alias("g")).toArrow()
+    good = np.zeros(len(s), bool)
+    good[np.searchsorted(s, gain["s"].to_numpy().view(np.uint64))] = gain["g"].to_numpy() > limit
+    return (s, np.where(good, once + 1, 0), total + 1), int(good.sum())
+
+
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, least: int = 16) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows that ``held_out`` (not null) doesn't mark.  ``base_score`` is the
-    log10 probability under the root alone, ``score`` under the tree.  A null or empty text is its
+    log10 probability under the root alone, ``score`` under the tree.  ``depth`` may bound the
+    contexts' length; by default they grow until no length is retained.  A null or empty text is its
     end alone; repeated rows count and are scored each; with nothing to learn from, every word has
     the root's smoothed probability of an empty count.  An empty table gives no rows.  Other columns
     are not read.
     """
-    if depth not in (1, 2):
-        raise ValueError("depth is 1 or 2")
     rows = docs.select(col(id_col).cast("long").alias("id"), held_out.alias("held"), col(text_col).cast("string").alias("text"))
-    model = Training(rows, depth, least)
-    model.fit()
-    ranges, screen, pairs_seen, n_all, v_all = model.ranges, model.screen, model.pairs, model.n, model.v
-
-    def ask(batches):
-        for block, tokens, starts, ids, held in blocks(batches):
-            words, word = by_frequency(tokens)
-            # a state of one word is known by the token before: only which words may be states is sent
-            may = in_bitmap(screen.value, np.append(words, START))
-            parts, keys = [], [mix(words, 10)]
-            for d, (s, ok) in enumerate(contexts(tokens, starts, depth)):
-                if d == 0:
-                    at = np.flatnonzero(may[before(word, starts, len(words))])
-                    states = np.append(words, START)[may]
-                    parts.append(np.packbits(may))
-                else:
-                    at = np.flatnonzero(ok & in_bitmap(screen.value, s))
-                    states, state = by_frequency(s[at])
-                    parts += [np.packbits(np.isin(np.arange(len(s)), at, assume_unique=True)), state]
-                both = pair(s[at], tokens[at])
-                seen = in_bitmap(pairs_seen.value, both)
-                pairs, times = by_frequency(both[seen])
-                keys += [mix(states, 11), mix(states, 12), pairs]
-                parts += [np.packbits(seen), times]
-            known = np.unique(np.concatenate(keys))
-            # the keys' places among the distinct keys, then each position's place among the keys
-            places = [np.searchsorted(known, k).astype(np.uint32) for k in keys]
-            id_values = np.asarray(ids.fill_null(0), np.int64)
-            body = pack(word, starts, id_values, np.asarray(ids.is_null()).astype(np.uint8), np.asarray(held).astype(np.uint8), *places, *parts)
-            yield batch([(-1, block, body), *split_sorted(block, known, ranges)])
-
-    model.settle()
-    asked, drop_requests = staged_apart(rows.mapInArrow(ask, PACKED))
-    # the answers are written, so that the requests and what was shuffled for them can go first
-    answers = staged(lookup(asked.where("not body").select("p", "block", "payload"), model.packed_kv()), "answers")
-    drop_requests()
-    model.settle()
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    ranges = ranges_for(rows, "text")
+    model = Model(least, ranges)
+    read = staged(read_blocks(rows, ranges), "blocks", by="level")
+    body, asked = read.where("level = -1"), read.where("level = 0")
+    answers = [staged(number_words(asked, ranges), "words")]
+    n, v = answers[0].where(F.col("kind") == FOUND).agg(F.sum("a"), F.sum("b")).first()
+    model.n, model.v = int(n or 0), int(v or 0)
+    model.texts = int(body.agg(F.sum("a")).first()[0] or 0)
+    drop_staged(read, "/level=0")
+    limit = float(np.log(max(model.n, 2)))
+
+    def with_answers() -> DataFrame:
+        known = reduce(DataFrame.union, [a.where(F.col("kind") <= SHARDS) for a in answers])
+        return body.select(*NAMES).union(known.select(*NAMES)).groupBy("block")
+
+    def block_at(t: pa.Table, level: int) -> Block:
+        b = Block(model, _rows_of(t))
+        while b.level < level:
+            b.learn()
+        return b
+
+    def asking(level: int):
+        def ask(t: pa.Table) -> pa.Table:
+            out = pa.Table.from_batches([as_batch(list(block_at(t, level).ask(t["block"][0].as_py())))])
+            let_go()
+            return out
+
+        return ask
+
+    level = 1
+    while model.n and (depth is None or level <= depth):
+        found = staged(count_contexts(with_answers().applyInArrow(asking(level), ROWS), least, limit, ranges), f"contexts{level}")
+        kept = int(found.where(F.col("kind") == FOUND).agg(F.sum("a")).first()[0] or 0)
+        model.hot[level], kept_hot = hot_contexts(found, limit, 4 * ranges)
+        if not kept + kept_hot:
+            drop_staged(found)
+            break
+        answers.append(found)
+        level += 1
 
     def score(t: pa.Table) -> pa.Table:
-        p = t["p"].to_numpy()
-        body = unpack(t["payload"][int(np.flatnonzero(p < 0)[0])].as_py())
-        order = np.argsort(p)[1:]
-        values = np.concatenate([unpack(t["payload"][int(i)].as_py())[0] for i in order])
-        word, starts, ids, no_id, held = body[:5]
-        places, parts = body[5 : 6 + 3 * depth], body[6 + 3 * depth :]
-        seen = np.nan_to_num(values[places[0]])[word]
-        prob = (seen + 0.5) / (n_all + 0.5 * (v_all + 1))
-        base = np.log10(prob)
-        for d in range(depth):
-            if d == 0:
-                n_words = len(places[0])
-                may = np.unpackbits(parts[0], count=n_words + 1).astype(bool)
-                prev = before(word, starts, n_words)
-                at = np.flatnonzero(may[prev])
-                state = (np.cumsum(may) - 1)[prev[at]]
-                seen_mask, times = parts[1:3]
-            else:
-                mask, state, seen_mask, times = parts[4 * d - 1 : 4 * d + 3]
-                at = np.flatnonzero(np.unpackbits(mask, count=len(word)))
-            weight, whole = values[places[1 + 3 * d]][state], values[places[2 + 3 * d]][state]
-            own = np.zeros(len(at))
-            own[np.flatnonzero(np.unpackbits(seen_mask, count=len(at)))] = np.nan_to_num(values[places[3 + 3 * d]][times])
-            kept = ~np.isnan(weight)
-            prob[at[kept]] = own[kept] / whole[kept] + weight[kept] * prob[at[kept]]
-        full = np.log10(prob)
-        lens = np.diff(np.append(starts, len(word)))
-        return pa.table({
-            "doc_id": pa.array(ids, mask=no_id.astype(bool)), "held_out": held.astype(bool), "n_tokens": lens.astype(np.int64),
-            "n_known": np.add.reduceat((seen > 0).astype(np.int64), starts), "train_tokens": np.full(len(starts), n_all, np.int64),
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(full, starts),
-        })
+        return block_at(t, level).scores()
 
-    return asked.where("body").select("p", "block", "payload").union(answers).groupBy("block").applyInArrow(score, schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return with_answers().applyInArrow(score, schema)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned from those whose crc32(doc_id as text) mod 5 is not 1:
+    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``score_texts``."""
     return score_texts(documents(spark, sf_dir), remainder(F.col("doc_id"), 5) == 1)

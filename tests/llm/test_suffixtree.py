@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -17,21 +18,20 @@ def toks(text):
 
 
 class Brute:
-    def __init__(self, texts, least, depth=2):
-        self.c, succ = Counter(), defaultdict(Counter)
+    def __init__(self, texts, least, depth=None):
+        self.c, full = Counter(), []
         for t in texts:
             w = toks(t)
             self.c.update(w)
-            full = ["<s>"] + w
-            for i in range(1, len(full)):
-                for d in range(1, depth + 1):
-                    if i - d >= 0:
-                        succ[tuple(full[i - d : i])][full[i]] += 1
+            full.append(["<s>"] + w)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.states = {}
-        for d in range(1, depth + 1):
-            for s in [s for s in succ if len(s) == d]:
-                n = succ[s]
+        self.states, self.depth = {}, 0
+        while depth is None or self.depth < depth:
+            d, succ, found = self.depth + 1, defaultdict(Counter), {}
+            for f in full:
+                for i in range(d, len(f)):
+                    succ[tuple(f[i - d : i])][f[i]] += 1
+            for s, n in succ.items():
                 if sum(n.values()) < least:
                     continue
                 once = sum(1 for x in n.values() if x == 1)
@@ -40,16 +40,20 @@ class Brute:
                 gain = once * (math.log(k) - below)
                 for w, x in n.items():
                     if x > 2:
-                        gain += x * (math.log((x - 1) / self.prob(s[1:], w, exact=True) + k) - below)
+                        gain += x * (math.log((x - 1) / float(np.float32(self.prob(s[1:], w))) + k) - below)
                     elif x == 2:
                         gain += 2 * (math.log(k + 1) - below)
                 if gain > math.log(max(self.n, 2)):
-                    self.states[s] = ({w: x for w, x in n.items() if x > 1}, k, c2)
+                    found[s] = ({w: x for w, x in n.items() if x > 1}, k, c2)
+            if not found:
+                break
+            self.states.update(found)
+            self.depth = d
 
     def root(self, w):
         return (self.c[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def prob(self, context, w, exact=False):
+    def prob(self, context, w):
         while context and context not in self.states:
             context = context[1:]
         if not context:
@@ -59,7 +63,7 @@ class Brute:
 
     def score(self, text):
         w = ["<s>"] + toks(text)
-        return sum(math.log10(self.prob(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+        return sum(math.log10(self.prob(tuple(w[max(0, i - self.depth) : i]), w[i])) for i in range(1, len(w)))
 
     def base(self, text):
         return sum(math.log10(self.root(w)) for w in toks(text))
@@ -75,12 +79,19 @@ def corpus(n=260):
         for _ in range(rng.randint(1, 40)):
             w.append(rng.choice(chain[w[-1]]) if rng.random() < 0.8 else rng.choice(words))
         rows.append((i, " ".join(w).title() if i % 9 == 0 else "\n".join(w), "clash"))
+    # each word depends on one, two and three words before it
+    sign = {key: rng.choice("abcdef") for d in (1, 2, 3) for key in itertools.product("abcdef", repeat=d)}
+    for i in range(40):
+        w = ["a", "b", "c"]
+        for _ in range(80):
+            w.append(sign[tuple(w[-rng.choice([1, 2, 3, 3]) :])])
+        rows.append((1000 + i, " ".join(w), "clash"))
     rows += [(500, None, ""), (501, "", ""), (502, "unseen words only", ""), (None, "w1 w2", ""), (3, rows[3][1], "")]
     return rows
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_scores_match_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, size", [(False, S.BLOCK), (True, S.BLOCK), (True, 300)])
+def test_scores_match_brute_force(spark, hot, size, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, held string").repartition(3)
     from pyspark.sql import functions as F
@@ -88,12 +99,15 @@ def test_scores_match_brute_force(spark, hot, monkeypatch):
     from cellweave.llm.common import remainder
 
     if hot:  # few tokens to a range: many states count as hot and are spread
-        monkeypatch.setattr(S, "ranges_for", lambda df: 512)
+        monkeypatch.setattr(S, "ranges_for", lambda df, text: 512)
+        monkeypatch.setattr(S.Model, "often", property(lambda self: 30.0))
+    # several blocks, texts longer than a block among them
+    monkeypatch.setattr(S.blocks, "__defaults__", (size,))
     out = S.score_texts(df, remainder(F.col("doc_id"), 5) == 1, least=12).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
     model = Brute([t for i, t, _ in rows if not held(i)], 12)
     assert len(out) == len(rows)
-    assert sum(len(s) == 1 for s in model.states) > 5
+    assert sum(len(s) == 1 for s in model.states) > 5 and model.depth >= 3
     want = {i: (t, held(i)) for i, t, _ in rows}
     for r in out:
         t, h = want[r["doc_id"]]
@@ -102,6 +116,7 @@ def test_scores_match_brute_force(spark, hot, monkeypatch):
         assert r["base_score"] == pytest.approx(model.base(t), rel=1e-9)
         assert r["score"] == pytest.approx(model.score(t), rel=1e-9), (r, model.score(t))
     unseen = [r for r in out if r["held_out"] and r["doc_id"] not in (500, 501, 502, None)]
+    assert len(unseen) > 30
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
