@@ -164,6 +164,8 @@ class Block:
         heavy = self.times > self.model.often
         for kind, mask in ((WHOLE, active & ~heavy), (SHARDS, active & heavy)):
             pos = np.flatnonzero(mask)
+            if not len(pos):
+                continue
             key = self.s[pos]
             if kind == SHARDS:
                 shards = np.ceil(self.times[pos] / self.model.often).astype(np.uint64)
@@ -188,8 +190,6 @@ class Block:
         """Takes this length's answers in and goes on to the next."""
         count = np.zeros(len(self.w), np.int64)
         for kind, pos, key, (order, first, of) in self.pairs():
-            if not len(pos):
-                continue
             if kind == WHOLE:
                 c, k, d = self.got[self.level, kind]
                 run = np.zeros(len(first), np.int64)

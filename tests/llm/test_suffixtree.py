@@ -90,7 +90,7 @@ def corpus(n=260):
     return rows
 
 
-@pytest.mark.parametrize("hot, size", [(False, S.BLOCK), (True, S.BLOCK), (True, 300)])
+@pytest.mark.parametrize("hot, size", [(None, S.BLOCK), (False, 300), (True, S.BLOCK), (True, 300)])
 def test_scores_match_brute_force(spark, hot, size, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, held string").repartition(3)
@@ -101,6 +101,8 @@ def test_scores_match_brute_force(spark, hot, size, monkeypatch):
     if hot:  # few tokens to a range: many states count as hot and are spread
         monkeypatch.setattr(S, "ranges_for", lambda df, text: 512)
         monkeypatch.setattr(S.Model, "often", property(lambda self: 30.0))
+    if hot is None:  # no context is cut
+        monkeypatch.setattr(S.Model, "often", property(lambda self: 1e9))
     # several blocks, texts longer than a block among them
     monkeypatch.setattr(S.blocks, "__defaults__", (size,))
     out = S.score_texts(df, remainder(F.col("doc_id"), 5) == 1, least=12).collect()
