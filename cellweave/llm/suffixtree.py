@@ -5,7 +5,8 @@ context of any number of symbols.  A context is a candidate if it occurs ``least
 training texts, and is retained by a divergence test: what its next-symbol distribution gains, in
 log likelihood with each occurrence left out of its own prediction, over its parent (the longest
 retained proper suffix) must exceed the logarithm of the number of training tokens.  Lengths go up
-by one until no candidate of a length is retained.
+by one until the retained contexts of a length gain less than a thousandth of a nat for each
+training token; shared passages alone retain single contexts of any length, for next to no gain.
 
 A retained state's distribution interpolates with its parent's:
 ``P(w|s) = c(s,w) / D + (k / D) * P(w|parent)``, where ``c`` counts successors seen at least twice,
@@ -39,6 +40,8 @@ from .exchange import mix, pack, pair, range_of, ranges_for, split_sorted, summe
 
 #: Tokens of a block; a longer text is a block of its own.
 BLOCK = 400_000
+#: Lengths go up while those retained of a length gain more than this for each training token, in nats.
+WORTH = 0.001
 #: The hash of the end; the id of what stands before a text's first word.
 END, START = np.uint64(0x6A09E667F3BCC909), 0
 #: Rows of all exchanges: range, block, length of context (-1: the block itself), kind, arrays, two numbers.
@@ -264,7 +267,7 @@ def number_words(asked: DataFrame, ranges: int) -> DataFrame:
 
 def count_contexts(asked: DataFrame, least: int, limit: float, ranges: int) -> DataFrame:
     """Answers to ``Block.ask``: counts of the pairs and, for runs of a context, weight k (0: not
-    retained) and D; rows with the number of retained contexts, and what shards have found."""
+    retained) and D; rows with the number of retained contexts and their gain; what shards have found."""
 
     def work(t: pa.Table) -> pa.Table:
         p, level = t["p"][0].as_py(), t["level"][0].as_py()
@@ -287,7 +290,7 @@ def count_contexts(asked: DataFrame, least: int, limit: float, ranges: int) -> D
                 gain = gains(whole, prob[i], number, total, once, once)
                 good = (total >= least) & (gain > limit)
                 k, d = np.where(good, once + 1, 0), total + 1  # D = (total - once) + (once + 1)
-                out.append((p, -1, level, FOUND, None, int(good.sum()), 0))
+                out.append((p, -1, level, FOUND, None, int(good.sum()), int(gain[good].sum())))
             else:
                 real = np.concatenate([a[4] for a in parts])[i]
                 of_state = np.zeros(len(state), np.uint64)
@@ -308,8 +311,8 @@ def count_contexts(asked: DataFrame, least: int, limit: float, ranges: int) -> D
     return asked.groupBy("p").applyInArrow(work, ROWS)
 
 
-def hot_contexts(found: DataFrame, limit: float, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """((contexts ascending, k or 0, D), how many are retained) of the contexts that were cut into
+def hot_contexts(found: DataFrame, limit: float, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """((contexts ascending, k or 0, D), the gain of the retained) of the contexts that were cut into
     shards.  Their number, checked against ``most``, is a fixed multiple of the number of ranges."""
     parts = found.where(F.col("kind") == PARTS).select("payload")
 
@@ -323,7 +326,7 @@ def hot_contexts(found: DataFrame, limit: float, most: int) -> tuple[tuple[np.nd
     if len(got) > most:
         raise RuntimeError("more very frequent contexts than there can be")
     if not len(got):
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.0
     s, total, once = got["s"].to_numpy().view(np.uint64), got["t"].to_numpy(), got["o"].to_numpy()
     order = np.argsort(s)
     s, total, once = s[order], total[order], once[order]
@@ -339,17 +342,19 @@ def hot_contexts(found: DataFrame, limit: float, most: int) -> tuple[tuple[np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(g)], names=["s", "g"])
 
     gain = parts.mapInArrow(gained, "s long, g double").groupBy("s").agg(F.sum("g").alias("g")).toArrow()
-    good = np.zeros(len(s), bool)
-    good[np.searchsorted(s, gain["s"].to_numpy().view(np.uint64))] = gain["g"].to_numpy() > limit
-    return (s, np.where(good, once + 1, 0), total + 1), int(good.sum())
+    of = np.zeros(len(s))
+    of[np.searchsorted(s, gain["s"].to_numpy().view(np.uint64))] = gain["g"].to_numpy()
+    good = of > limit
+    return (s, np.where(good, once + 1, 0), total + 1), float(of[good].sum())
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, least: int = 16) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, least: int = 16, worth: float = WORTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows that ``held_out`` (not null) doesn't mark.  ``base_score`` is the
-    log10 probability under the root alone, ``score`` under the tree.  ``depth`` may bound the
-    contexts' length; by default they grow until no length is retained.  A null or empty text is its
+    log10 probability under the root alone, ``score`` under the tree.  Contexts grow
+    until those retained of a length gain no more than ``worth`` nats for each training token (0: until
+    none is retained), or to ``depth`` if that is given.  A null or empty text is its
     end alone; repeated rows count and are scored each; with nothing to learn from, every word has
     the root's smoothed probability of an empty count.  An empty table gives no rows.  Other columns
     are not read.
@@ -387,9 +392,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     level = 1
     while model.n and (depth is None or level <= depth):
         found = staged(count_contexts(with_answers().applyInArrow(asking(level), ROWS), least, limit, ranges), f"contexts{level}")
-        kept = int(found.where(F.col("kind") == FOUND).agg(F.sum("a")).first()[0] or 0)
-        model.hot[level], kept_hot = hot_contexts(found, limit, 4 * ranges)
-        if not kept + kept_hot:
+        gain = found.where(F.col("kind") == FOUND).agg(F.sum("b")).first()[0] or 0
+        model.hot[level], hot_gain = hot_contexts(found, limit, 4 * ranges)
+        if gain + hot_gain <= worth * model.n:
             drop_staged(found)
             break
         answers.append(found)

@@ -105,7 +105,7 @@ def test_scores_match_brute_force(spark, hot, size, monkeypatch):
         monkeypatch.setattr(S.Model, "often", property(lambda self: 1e9))
     # several blocks, texts longer than a block among them
     monkeypatch.setattr(S.blocks, "__defaults__", (size,))
-    out = S.score_texts(df, remainder(F.col("doc_id"), 5) == 1, least=12).collect()
+    out = S.score_texts(df, remainder(F.col("doc_id"), 5) == 1, least=12, worth=0).collect()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
     model = Brute([t for i, t, _ in rows if not held(i)], 12)
     assert len(out) == len(rows)
@@ -128,11 +128,20 @@ def test_distributions_sum_to_one():
         assert sum(model.prob(s, w) for w in model.c) + model.prob(s, "never seen") == pytest.approx(1)
 
 
+def test_lengths_stop_when_they_gain_too_little(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, held string")
+    total = lambda **how: S.score_texts(df, F.col("doc_id") % 5 == 1, least=12, **how).where("doc_id < 500").agg(F.sum("score"), F.sum("base_score")).first()
+    none, one, all_ = total(worth=10), total(depth=1), total(worth=0)
+    assert none[0] == none[1] < one[0] < all_[0]
+
+
 def test_nothing_to_learn_from(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(1, "a b", ""), (2, None, "")], "doc_id long, text string, x string")
-    out = S.score_texts(df, F.lit(True)).collect()
+    out = S.score_texts(df, F.lit(True), worth=0).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in sorted(out)] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert S.score_texts(df.limit(0), F.lit(False)).count() == 0
 
