@@ -73,7 +73,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], order[first]
 
 
-def ranges_for(df: DataFrame, text_col: str, least: int = 128, most: int = 1 << 16, mb: int = 4) -> int:
+def ranges_for(df: DataFrame, text_col: str, least: int = 128, most: int = 1 << 16, mb: int = 8) -> int:
     """How many ranges of hashes (a power of two): one for each few MB of the texts, whose bytes are counted."""
     size = df.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     return 1 << max(least.bit_length() - 1, min(most.bit_length() - 1, (size // (mb << 20)).bit_length()))

@@ -5,8 +5,9 @@ context of any number of symbols.  A context is a candidate if it occurs ``least
 training texts, and is retained by a divergence test: what its next-symbol distribution gains, in
 log likelihood with each occurrence left out of its own prediction, over its parent (the longest
 retained proper suffix) must exceed the logarithm of the number of training tokens.  Lengths go up
-by one until the retained contexts of a length gain less than a thousandth of a nat for each
-training token; shared passages alone retain single contexts of any length, for next to no gain.
+by one to the first whose retained contexts gain less than a tenth of a nat for each training token:
+gains fall about tenfold from one length to the next, and shared passages alone would retain single
+contexts of any length for next to no gain.
 
 A retained state's distribution interpolates with its parent's:
 ``P(w|s) = c(s,w) / D + (k / D) * P(w|parent)``, where ``c`` counts successors seen at least twice,
@@ -39,9 +40,11 @@ from .common import col, documents, drop_staged, lean, let_go, remainder, staged
 from .exchange import mix, pack, pair, range_of, ranges_for, split_sorted, summed, unpack
 
 #: Tokens of a block; a longer text is a block of its own.
-BLOCK = 400_000
-#: Lengths go up while those retained of a length gain more than this for each training token, in nats.
-WORTH = 0.001
+BLOCK = 1_000_000
+#: A length whose retained contexts gain less than this for each training token, in nats, is the last.
+WORTH = 0.1
+#: Parts of a nat in which the parent's probabilities reach the divergence test.
+PARTS_OF_NAT = 64
 #: The hash of the end; the id of what stands before a text's first word.
 END, START = np.uint64(0x6A09E667F3BCC909), 0
 #: Rows of all exchanges: range, block, length of context (-1: the block itself), kind, arrays, two numbers.
@@ -184,7 +187,7 @@ class Block:
             edges = runs_of(p)
             for lo, hi in zip(edges, np.append(edges[1:], len(p)), strict=True):
                 j = i[lo:hi]
-                arrays = [key[j], small(self.w[pos[j]]), small(n[lo:hi]), self.prob[pos[j]].astype(np.float32)]
+                arrays = [key[j], small(self.w[pos[j]]), small(n[lo:hi]), np.rint(-PARTS_OF_NAT * np.log(self.prob[pos[j]])).astype(np.uint16)]
                 if kind == SHARDS:
                     arrays.append(self.s[pos[j]])
                 yield int(p[lo]), block, self.level, kind, pack(*arrays, ascending=1), 0, 0
@@ -278,7 +281,7 @@ def count_contexts(asked: DataFrame, least: int, limit: float, ranges: int) -> D
                 continue
             parts = [unpack(t["payload"][i].as_py()) for i in mine]
             s, w, n = (np.concatenate([a[j].astype(k) for a in parts]) for j, k in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
-            prob = np.concatenate([a[3] for a in parts])
+            prob = np.exp(np.concatenate([a[3] for a in parts]) / -float(PARTS_OF_NAT))
             order, first, of = pair_order(s, w)
             whole = np.bincount(of, n, len(first)).astype(np.int64)
             i = order[first]
@@ -353,8 +356,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
     The model learns from the rows that ``held_out`` (not null) doesn't mark.  ``base_score`` is the
     log10 probability under the root alone, ``score`` under the tree.  Contexts grow
-    until those retained of a length gain no more than ``worth`` nats for each training token (0: until
-    none is retained), or to ``depth`` if that is given.  A null or empty text is its
+    to the first length whose retained ones gain no more than ``worth`` nats for each training token
+    (0: until none is retained), or to ``depth`` if that is given.  A null or empty text is its
     end alone; repeated rows count and are scored each; with nothing to learn from, every word has
     the root's smoothed probability of an empty count.  An empty table gives no rows.  Other columns
     are not read.
@@ -394,11 +397,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         found = staged(count_contexts(with_answers().applyInArrow(asking(level), ROWS), least, limit, ranges), f"contexts{level}")
         gain = found.where(F.col("kind") == FOUND).agg(F.sum("b")).first()[0] or 0
         model.hot[level], hot_gain = hot_contexts(found, limit, 4 * ranges)
-        if gain + hot_gain <= worth * model.n:
-            drop_staged(found)
-            break
         answers.append(found)
         level += 1
+        if gain + hot_gain <= worth * model.n:
+            break
 
     def score(t: pa.Table) -> pa.Table:
         return block_at(t, level).scores()
