@@ -13,17 +13,18 @@ cosine; reported scores are the cosine of the original vectors in double precisi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import embeddings, staged
-from .vectors import best, blocks_of, matrix, vector_rows
+from .exchange import pack, unpack
+from .vectors import best, blocks_of, packed, paired, result, vector_rows
 
-SHARD_ROWS, BLOCK_ROWS, DEGREE, SLACK, BEAM, BATCH = 8_192, 4_096, 24, 16, 48, 256
+SHARD_ROWS, BLOCK_ROWS, DEGREE, SLACK, BATCH = 8_192, 32_768, 24, 16, 256
+#: Nodes kept by a search while the graph is built, and by a query's.
+BEAM, WIDE_BEAM = 40, 96
 
 
 def _beam(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int, visited: bool = False):
@@ -127,37 +128,40 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 9)
     return edges, start
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their greatest component: exact, and squares stay in range."""
     big = np.abs(x).max(1, keepdims=True) if x.shape[1] else np.ones((len(x), 1))
-    x = x / big
+    return np.ldexp(x, -np.frexp(big)[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def build_shard(ids: np.ndarray, x: np.ndarray) -> dict:
-    """A shard's index as arrays: nodes are distinct vectors, ``owner`` maps rows to nodes."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    """A shard's index as arrays: nodes are distinct vectors, ``owner`` maps rows, ascending by id, to nodes."""
     nodes, owner = np.unique(x, axis=0, return_inverse=True)
     edges, start = build(_unit(nodes))
     return {"ids": ids, "owner": owner.reshape(-1), "nodes": nodes, "edges": edges, "start": start}
 
 
-def search_shard(index: dict, q: np.ndarray, q_ids: np.ndarray, k: int, beam: int = BEAM):
+def search_shard(index: dict, q: np.ndarray, q_ids: np.ndarray, k: int, beam: int = WIDE_BEAM):
     """(query position, vec_id, cosine): up to k for each query."""
     ids, nodes = index["ids"], index["nodes"]
     by_node = np.argsort(index["owner"], kind="stable")  # ids ascend within a node
     first = np.searchsorted(index["owner"][by_node], np.arange(len(nodes) + 1))
     unit, unit_q = _unit(nodes), _unit(q)
-    norm = np.sqrt((nodes * nodes).sum(1))
+    low = unit.astype(np.float32)
     out: tuple[list, list, list] = ([], [], [])
     for lo in range(0, len(q), BATCH):
-        pool, dist = _beam(unit, index["edges"], index["start"], unit_q[lo : lo + BATCH], beam)
+        pool, dist = _beam(low, index["edges"], index["start"], unit_q[lo : lo + BATCH].astype(np.float32), beam)
         for i in range(len(pool)):
             own, got_ids, got_s = pool[i][np.isfinite(dist[i])][: 4 * k], [], []
-            x = q[lo + i]
-            score = (nodes[own] @ x) / (norm[own] * np.sqrt(x @ x))
-            for node, s in zip(own, score, strict=True):
-                members = ids[by_node[first[node] : first[node + 1]]][: k + 8]
+            for node, s in zip(own, cosines(nodes[own], q[lo + i]), strict=True):
+                mine = ids[by_node[first[node] : first[node + 1]]]
+                # of a node's rows the least ids can count, beside the query's own
+                members = mine[: k + 1 + int((mine[: k + 1] == q_ids[lo + i]).sum())]
                 members = members[members != q_ids[lo + i]][:k]
                 got_ids.append(members)
                 got_s.append(np.full(len(members), s))
@@ -169,59 +173,59 @@ def search_shard(index: dict, q: np.ndarray, q_ids: np.ndarray, k: int, beam: in
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
-INDEX = "dim int, shard int, start int, degree int, ids binary, owner binary, nodes binary, edges binary"
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows with a vector, of any size of components."""
+    x, q = _scaled(x), _scaled(q[None])[0]
+    return (x @ q) / (np.sqrt((x * x).sum(1)) * np.sqrt(q @ q))
 
 
-def index_vectors(rows: DataFrame, n_shards: int) -> DataFrame:
-    """``vec_id, v, dim`` -> a row for each shard that holds its whole graph; every row is indexed."""
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
+def index_shard(ids: np.ndarray, x: np.ndarray) -> bytes:
+    """A shard's whole graph, packed; vectors keep the precision that they need."""
+    g = build_shard(ids, x)
+    return pack(g["ids"], g["owner"].astype(np.int32), _narrow(g["nodes"]).ravel(), g["edges"].astype(np.int32).ravel(), np.array([g["start"]]), ascending=1)
 
-    def work(t: pa.Table) -> pa.Table:
-        dim = t["dim"][0].as_py()
-        g = build_shard(t["vec_id"].to_numpy(), matrix(t["v"], dim))
-        packed = {k: [g[k].astype(kind).tobytes()] for k, kind in (("ids", "<i8"), ("owner", "<i4"), ("nodes", "<f4"), ("edges", "<i4"))}
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([t["shard"][0].as_py()], pa.int32()), "start": pa.array([g["start"]], pa.int32()),
-                         "degree": pa.array([g["edges"].shape[1]], pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in packed.items()}})
 
-    return sharded.groupBy("dim", "shard").applyInArrow(work, INDEX)
+def open_shard(payload: bytes, dim: int) -> dict:
+    ids, owner, nodes, edges, start = unpack(payload)
+    nodes = nodes.reshape(-1, dim).astype(np.float64)
+    return {"ids": ids, "owner": owner, "nodes": nodes, "edges": edges.reshape(len(nodes), -1).astype(np.int64), "start": int(start[0])}
 
 
-def _unpacked(r: dict) -> dict:
-    nodes = np.frombuffer(r["nodes"], "<f4").reshape(-1, r["dim"]).astype(np.float64)
-    edges = np.frombuffer(r["edges"], "<i4").reshape(-1, r["degree"]).astype(np.int64)
-    return {"ids": np.frombuffer(r["ids"], "<i8"), "owner": np.frombuffer(r["owner"], "<i4"), "nodes": nodes, "edges": edges, "start": r["start"]}
+def _narrow(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        low = x.astype(np.float32)
+    return low if (low.astype(np.float64) == x).all() else x
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
             shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows that ``queries`` (of ``vec_id``) marks.
 
-    Candidates are all rows but those of the query's own id, of the same length.  Rows without an
-    id, and vectors that are null, zero or hold null or non-finite components, take no part; equal
-    rows count once.  No queries or no candidates: no rows.  Other columns are not read.
+    The score is the cosine of the vectors as doubles.  Candidates are all rows but those of the
+    query's own id, of the same length.  Rows without an id, and vectors that are null, zero or hold
+    null or non-finite components, take no part; equal rows count once, and different vectors of one
+    id are a query, and a candidate, each.  No queries or no candidates: no rows.  Other columns are
+    not read.
     """
     rows = vector_rows(vectors, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
     n, m = rows.agg(F.count("*"), F.count_if(queries)).first()
     n_shards, n_blocks = blocks_of(n, shard_rows), blocks_of(m, block_rows)
-    index = staged(index_vectors(rows, n_shards), "graph")
-    asked = rows.where(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    # a block of queries travels as one packed row, a shard's graph as another
-    packed = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("qs"))
-    packed = packed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumnRenamed("dim", "q_dim")
-    both = index.join(packed, (F.col("dim") == F.col("q_dim")) & (F.col("shard") == F.col("at")))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names) if c != "qs"}
-                qs = batch.column(batch.schema.get_field_index("qs"))[r].values
-                q_ids = np.asarray(qs.field("vec_id"))
-                q = matrix(qs.field("v"), row["dim"])
-                i, ids, s = search_shard(_unpacked(row), q, q_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i.astype(int)]), pa.array(ids.astype(np.int64)), pa.array(s.astype(float))], names=["query_id", "vec_id", "score"])
-
-    return best(both.mapInArrow(work, "query_id long, vec_id long, score double"), k)
+
+    def block(ids: np.ndarray, x: np.ndarray) -> bytes:
+        return pack(ids, _narrow(x).ravel(), ascending=1)
+
+    def work(shard: bytes, block: bytes, dim: int) -> pa.Table:
+        q_ids, q = unpack(block)
+        q = q.reshape(len(q_ids), dim).astype(np.float64)
+        i, ids, s = search_shard(open_shard(shard, dim), q, q_ids, k)
+        return result(q_ids, q, i.astype(np.int64), ids.astype(np.int64), s.astype(float))
+
+    index = staged(packed(rows, "shard", n_shards, index_shard), "graph")
+    parts = paired(index, packed(rows.where(queries), "block", n_blocks, block), n_shards, n_blocks, work, "query_id long, row long, vec_id long, score double")
+    return best(parts, k)
 
 
 def op9_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the 5 nearest found by cosine of every fiftieth vector among
+    all others.  Invalid vectors, ties, repeats and empty tables as in ``nearest``."""
     return nearest(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
