@@ -51,10 +51,6 @@ def cross(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column,
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
 
-def det3(a: tuple[Column, ...], b: tuple[Column, ...], c: tuple[Column, ...]) -> Column:
-    return dot(a, cross(b, c))
-
-
 def plane_offset(r: tuple[Column, ...], w_self: Column | float = 0.0, w_nbr: Column | float = 0.0) -> Column:
     """Offset of the plane between a seed and its neighbour at r: r . v <= offset."""
     return (dot(r, r) + w_self - w_nbr) / 2

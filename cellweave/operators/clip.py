@@ -158,37 +158,49 @@ def min_image(d: np.ndarray, box: np.ndarray) -> np.ndarray:
     return d - box * np.rint(d / box)  # half rounds to even: to none
 
 
+def feet(sdf, p: np.ndarray, steps: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Newton steps along the gradient to the solid's surface: the points reached, the unit normals there,
+    and where there is one.  A distance that is positive in the fluid grows into the fluid, and so
+    do the normals."""
+    for _ in range(steps):
+        g = sdf.gradient(p)
+        slope = (g * g).sum(1)
+        p = p - g * (sdf.value(p) / np.where(slope > 0, slope, np.inf))[:, None]
+    g = sdf.gradient(p)
+    size = np.sqrt((g * g).sum(1))
+    return p, g / np.where(size > 0, size, 1)[:, None], size > 0
+
+
+def deepest_corners(cells: Cells, lanes: np.ndarray, seeds: np.ndarray, sdf) -> tuple[np.ndarray, np.ndarray]:
+    """Of each lane's corners the one with the least distance: that distance and its place."""
+    lane = np.repeat(np.arange(len(lanes)), cells.nt[lanes])
+    start = np.cumsum(cells.nt[lanes]) - cells.nt[lanes]
+    x = seeds[lanes[lane]] + cells.v[lanes[lane], np.arange(len(lane)) - start[lane]]
+    depth = sdf.value(x)
+    order = np.lexsort((depth, lane))[start]
+    return depth[order], x[order]
+
+
 def clip_against_solid(cells: Cells, seeds: np.ndarray, sdf, cuts: int = 24, tol: float = 1e-8) -> np.ndarray:
-    """Clips cells by tangent planes of a signed distance (positive in the fluid): first at the point
-    nearest to the seed, then at the corner deepest in the solid, until none is deeper than ``tol``
-    or ``cuts`` planes are used.  Cells with their seed in the solid become empty; which ones."""
-    centre = sdf.value(seeds)
-    solid = centre <= 0
-    cells.empty(np.flatnonzero(solid))
-    radius = np.sqrt(cells.r2)
-    live = np.flatnonzero(~solid & (centre <= radius + tol) & (cells.nt > 0))
-    probe, phi = seeds[live].copy(), centre[live]
-    for k in range(cuts):
-        if not len(live):
+    """Clips cells by tangent planes of a solid, given by its signed distance (positive in the fluid).
+
+    The first plane touches the solid nearest to the seed; each further one, under the corner that
+    lies deepest in the solid, until no corner is deeper than ``tol`` or ``cuts`` planes are used.
+    A plane leaves the side that its normal points to.  Cells whose seed isn't in the fluid become
+    empty; returns which."""
+    room = sdf.value(seeds)
+    cells.empty(np.flatnonzero(room <= 0))
+    lanes = np.flatnonzero((room > 0) & (cells.nt > 0) & (room - tol <= np.sqrt(cells.r2)))
+    under = seeds[lanes]
+    for _ in range(cuts):
+        if not len(lanes):
             break
-        if k:
-            top = int(cells.nt[live].max())
-            x = seeds[live][:, None] + cells.v[live, :top]
-            f = np.where(np.arange(top) < cells.nt[live][:, None], sdf.value(x.reshape(-1, 3)).reshape(len(live), top), np.inf)
-            at = f.argmin(1)
-            phi, probe = f[np.arange(len(live)), at], x[np.arange(len(live)), at]
-            deep = phi < -tol
-            live, phi, probe = live[deep], phi[deep], probe[deep]
-            if not len(live):
-                break
-        g = sdf.gradient(probe)
-        gg = (g * g).sum(1)
-        ok = gg > 0
-        live, phi, probe, g, gg = live[ok], phi[ok], probe[ok], g[ok], gg[ok]
-        surface, normal = probe - (phi / gg)[:, None] * g, g / np.sqrt(gg)[:, None]
-        eps = np.maximum(1e-3 * (radius[live] + 1), 1e-6)
-        inward = sdf.value(surface + eps[:, None] * normal) <= 0
-        normal[inward] *= -1
-        cells.clip(live, -normal, -(normal * (surface - seeds[live])).sum(1), np.full(len(live), WALL))
-        live = live[cells.nt[live] > 0]
-    return solid
+        at, normal, there = feet(sdf, under)
+        lanes, at, normal = lanes[there], at[there], normal[there]
+        # normal . (seed + v - at) >= 0 is what stays
+        cells.clip(lanes, -normal, (normal * (seeds[lanes] - at)).sum(1), np.full(len(lanes), WALL))
+        lanes = lanes[cells.nt[lanes] > 0]
+        if len(lanes):
+            depth, under = deepest_corners(cells, lanes, seeds, sdf)
+            lanes, under = lanes[depth < -tol], under[depth < -tol]
+    return room <= 0

@@ -62,6 +62,9 @@ def sections(cells: DataFrame, origin: tuple[float, float, float], normal: tuple
     n = [float(c) for c in normal]
     size = sum(c * c for c in n) ** 0.5
     n = [c / size for c in n]
+    # only cells that reach the plane: their corners lie within sqrt(r2_max) of the seed
+    height = sum((F.col(c) - o) * k for c, o, k in zip("xyz", [float(c) for c in origin], n))
+    cells = cells.where(height * height <= F.col("r2_max") * (1 + 1e-9))
     seeds = cells.select("cell_id", *[F.col(c).alias(f"s{c}") for c in "xyz"], "volume")
     e = edges_of(cells).join(seeds, "cell_id")
     side = lambda p: sum(((F.col(f"s{c}") + F.col(f"{p}{c}") - o) * k for c, o, k in zip("xyz", origin, n)), F.lit(0.0))

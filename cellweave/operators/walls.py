@@ -38,12 +38,6 @@ class Solid:
         return (out + out.transpose(0, 2, 1)) / 2
 
 
-@dataclass(frozen=True)
-class NoSolid(Solid):
-    def value(self, p):
-        return np.full(len(p), 1e30)
-
-
 @dataclass(frozen=True)
 class HalfSpace(Solid):
     """Solid where (p - origin) . normal < 0."""
@@ -142,19 +136,19 @@ class SampledGrid(Solid):
 def spheres_distance(points: DataFrame, spheres: DataFrame, box: Box | float) -> DataFrame:
     """``cell_id, distance`` to a table of spheres ``cx, cy, cz, r`` (a small, stated set).
 
-    The spheres travel as one array of a single row, whose size is checked."""
+    The spheres travel as one array of a single row; their number is checked before they are gathered."""
     box = Box.of(box)
-    rows = spheres.select(*[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "cz", "r")]).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more spheres than fit in a literal; use neighbour_pairs for many")
-    literal = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("cx", "cy", "cz", "r"), row)]) for row in rows])
+    rows = spheres.select(*[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "cz", "r")])
+    if rows.limit(100_001).count() > 100_000:
+        raise ValueError("more spheres than one row should hold; use neighbour_pairs for many")
+    every = rows.agg(F.collect_list(F.struct("cx", "cy", "cz", "r")).alias("every")).scalar()
 
     def one(s: Column) -> Column:
         d = [F.col(a) - s[f"c{a}"] for a in "xyz"]
         d = [x - e * F.round(x / e) for x, e in zip(d, box.edges.tolist())]
         return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) - s["r"]
 
-    return points.select("cell_id", F.array_min(F.transform(literal, one)).alias("distance"))
+    return points.select("cell_id", F.array_min(F.transform(every, one)).alias("distance"))
 
 
 def wall_force(facets: DataFrame, cells: DataFrame, solid: Solid) -> DataFrame:

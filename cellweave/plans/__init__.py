@@ -14,10 +14,13 @@ from ..functions import bin_id, bin_index, min_image
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is set only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a local folder is set only where that is unset on a
+    single machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = os.path.join(tempfile.gettempdir(), f"cellweave-{uuid.uuid4().hex}")
         sc.setCheckpointDir(named)
     return named
@@ -36,11 +39,6 @@ def block_grid(box: Box, n: int, each: int, cores: int = 8) -> tuple[int, int, i
     return box.bins(n, max(64, min(each, n // max(1, 2 * cores))))
 
 
-def with_block(seeds: DataFrame, box: Box, grid: tuple[int, int, int], name: str = "block") -> DataFrame:
-    """The block that owns each seed."""
-    return seeds.withColumn(name, bin_id(F.col("x"), F.col("y"), F.col("z"), box, grid))
-
-
 def _modulo(n: int):
     return lambda k: F.pmod(k, F.lit(n))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,11 +32,14 @@ def to_array(df: DataFrame, *columns: str) -> np.ndarray:
 def read_packing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, float, float]:
     """(spheres ``cx, cy, cz, r``, seeds ``cell_id, x, y, z``, low, high) of a packing file: a line of the
     numbers of spheres and of seeds, low and high edge, then spheres, then seeds."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value").where(F.trim("value") != "")
-    fields = F.split(F.trim("value"), r"\s+")
-    head = lines.limit(1).select(fields.alias("p")).first()["p"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("m"), "value").where(F.trim("value") != "")
+    # a line's number: lines of the parts of the file before its own (a row for each part), and its place in the part
+    parts = lines.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = parts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("m")) - 1
+    numbered = lines.withColumn("place", place).join(ahead, F.col("part") == F.col("of")).select((F.col("ahead") + F.col("place")).alias("n"), F.split(F.trim("value"), r"\s+").alias("p"))
+    head = numbered.where("n = 0").first()["p"]
     n_spheres = int(head[0])
-    numbered = lines.select(F.monotonically_increasing_id().alias("n"), fields.alias("p"))
     value = lambda i: F.col("p")[i].cast("double")
     spheres = numbered.where((F.col("n") >= 1) & (F.col("n") <= n_spheres)).select(*[value(i).alias(c) for i, c in enumerate(("cx", "cy", "cz", "r"))])
     seeds = numbered.where(F.col("n") > n_spheres).select((F.col("n") - n_spheres - 1).alias("cell_id"), *[value(i).alias(c) for i, c in enumerate("xyz")])

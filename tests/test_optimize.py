@@ -73,3 +73,28 @@ def test_walls():
     spheres = walls.PeriodicSpheres(((0.05, 0.5, 0.5),), (0.1,))
     assert spheres.value(np.array([[0.95, 0.5, 0.5]]))[0] == pytest.approx(0.0, abs=1e-12)
     assert walls.Brick((0, 0, 0), (1, 1, 1)).value(np.array([[2.0, 0, 0]]))[0] == 1 and walls.HollowCylinder((0, 0), 1, 2).value(np.array([[1.5, 0, 0]]))[0] == 0.5
+
+
+def test_tangent_cuts_keep_the_fluid_of_a_cell():
+    from cellweave.operators.clip import Cells, clip_against_solid
+    from cellweave.operators.walls import Solid
+
+    class Hollow(Solid):  # fluid in a ball: no tangent plane cuts fluid off
+        def value(self, p):
+            return 0.4 - np.sqrt(((p - 0.5) ** 2).sum(-1))
+
+    rng = np.random.default_rng(2)
+    seeds = 0.5 + 0.9 * (rng.random((40, 3)) - 0.5)
+    cells, sdf = Cells(40, np.full(3, 0.3)), Hollow()
+    outside = clip_against_solid(cells, seeds, sdf)
+    assert (outside == (sdf.value(seeds) <= 0)).all() and 0 < outside.sum() < 40 and (cells.nt[outside] == 0).all()
+    cut = 0
+    for i in np.flatnonzero(~outside):
+        p = 0.3 * (rng.random((400, 3)) - 0.5)
+        u, h = cells.u[i, : cells.count[i]], cells.h[i, : cells.count[i]]
+        inside, fluid = (p @ u.T <= h + 1e-9).all(1), sdf.value(seeds[i] + p) > 0
+        assert (inside | ~fluid).all()
+        cut += (cells.id[i, : cells.count[i]] == -2).any()
+        corners = seeds[i] + cells.v[i, : cells.nt[i]]
+        assert cells.count[i] >= 6 + 24 or sdf.value(corners).min() >= -1e-8
+    assert cut > 5

@@ -7,7 +7,7 @@ from cellweave.functions import bin_id, min_image, morton, wrap
 from cellweave.operators import physics, shapes
 from cellweave.operators.moving import Moving
 from cellweave.operators.tessellate import tessellate
-from cellweave.operators.walls import HalfSpace, Sphere, wall_force
+from cellweave.operators.walls import HalfSpace, Sphere, wall_force, spheres_distance
 from cellweave.operators.tessellate import build_cells, facets_of
 from cellweave.plans import gather_halo, nearest, neighbour_pairs, owner, refresh_halo
 from cellweave.sources import from_arrays, read_packing, to_array, write_packing, write_report, write_vtu
@@ -112,3 +112,30 @@ def test_wall_force_by_finite_difference(spark, solid):
             b[i, k] -= 1e-5
             fd = (volume(a, i) - volume(b, i)) / 2e-5
             assert force[i][f"f{c}"] - rest[i][f"s{c}"] == pytest.approx(fd, rel=2e-2, abs=2e-4)
+
+
+def test_a_packing_read_in_many_parts_keeps_its_order(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    balls, seeds = rng.random((900, 4)), rng.random((1100, 3))
+    write_packing(str(tmp_path / "p.txt"), balls, seeds, 0.0, 1.0)
+    keys = {"spark.sql.files.maxPartitionBytes": "6000", "spark.sql.files.openCostInBytes": "10"}
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path / "p.txt")).rdd.getNumPartitions() > 10
+        b, s, _, _ = read_packing(spark, str(tmp_path / "p.txt"))
+        assert (to_array(s, "x", "y", "z") == seeds).all()
+        assert sorted(map(tuple, b.collect())) == sorted(map(tuple, balls.tolist()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_spheres_travel_as_one_row(spark):
+    x, c = points(40), points(9, 1)
+    balls = spark.createDataFrame([(*map(float, p), 0.1) for p in c], "cx double, cy double, cz double, r double")
+    got = {r["cell_id"]: r["distance"] for r in spheres_distance(from_arrays(spark, x), balls, 1.0).collect()}
+    d = x[:, None] - c
+    want = np.sqrt(((d - np.round(d)) ** 2).sum(2)).min(1) - 0.1
+    assert np.allclose([got[i] for i in range(40)], want, atol=1e-13)
