@@ -148,7 +148,8 @@ def spheres_distance(points: DataFrame, spheres: DataFrame, box: Box | float) ->
         d = [x - e * F.round(x / e) for x, e in zip(d, box.edges.tolist())]
         return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) - s["r"]
 
-    return points.select("cell_id", F.array_min(F.transform(every, one)).alias("distance"))
+    held = points.select("cell_id", "x", "y", "z", every.alias("every"))
+    return held.select("cell_id", F.array_min(F.transform("every", one)).alias("distance"))
 
 
 def wall_force(facets: DataFrame, cells: DataFrame, solid: Solid) -> DataFrame:
