@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..box import Box
 from ..functions import min_image as min_image_col
+from ..functions import bin_id, bin_index
 from ..plans import block_grid, replicated, staged
 from .clip import Cells, min_image
 from .tessellate import CELLS, as_table, facets_of, tessellate
@@ -222,3 +223,28 @@ def flag_movers(now: DataFrame, reference: DataFrame, box: Box | float, skin: fl
 
 def max_displacement(now: DataFrame, reference: DataFrame, box: Box | float) -> DataFrame:
     return displacement(now, reference, box).agg(F.sqrt(F.max("moved2")).alias("max_displacement"))
+
+
+def flagged_nearby(flagged: DataFrame, box: Box | float, grid: tuple[int, int, int]) -> DataFrame:
+    """``bin, n``: how many of the flagged points lie in each bin of a periodic grid or one next to it;
+    bins without any have no row."""
+    box = Box.of(box)
+    bins = [bin_index(F.col(c), e, n) for c, e, n in zip("xyz", box.edges.tolist(), grid)]
+    out = flagged.select(*[b.alias(a) for a, b in zip("ijk", bins)]).groupBy("i", "j", "k").agg(F.count("*").alias("here"))
+    for a, n in zip("ijk", grid):
+        out = out.withColumn(a, F.explode(F.array_distinct(F.array(*[F.pmod(F.col(a) + d, F.lit(n)) for d in (-1, 0, 1)]))))
+    key = F.col("i").cast("long") + grid[0] * (F.col("j") + F.lit(grid[1]).cast("long") * F.col("k"))
+    return out.groupBy(key.alias("bin")).agg(F.sum("here").alias("n"))
+
+
+def dilated(seeds: DataFrame, flagged: DataFrame, box: Box | float, grid: tuple[int, int, int], least: int) -> DataFrame:
+    """``cell_id`` of the seeds in bins with ``least`` flagged points in them and the bins around."""
+    box = Box.of(box)
+    dense = flagged_nearby(flagged, box, grid).where(F.col("n") >= least)
+    return seeds.withColumn("bin", bin_id(F.col("x"), F.col("y"), F.col("z"), box, grid)).join(dense, "bin", "left_semi").select("cell_id")
+
+
+def partners(facets: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``cell_id`` of the seeds across a facet from a flagged cell that aren't flagged themselves."""
+    across = facets.join(flagged.select("cell_id"), "cell_id", "left_semi").where("nbr_id >= 0").select(F.col("nbr_id").alias("cell_id")).distinct()
+    return across.join(flagged.select("cell_id"), "cell_id", "left_anti")

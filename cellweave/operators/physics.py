@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..box import Box
 from ..functions import eos_pressure, wrap
-from ..plans import reciprocal, staged
+from ..plans import drop_staged, reciprocal, staged
 from .moving import Moving
 from .tessellate import facets_of, tessellate
 
@@ -97,6 +97,16 @@ def invariants(cells: DataFrame, box: Box | float) -> DataFrame:
     return three.withColumn("k", k).join(one.withColumn("k", k), "k").join(two.withColumn("k", k), "k").drop("k")
 
 
+def seed_gradient(cells: DataFrame, by_volume: Column) -> DataFrame:
+    """``cell_id, gx, gy, gz``: the gradient by each seed's position of a sum over cells whose derivative
+    by a cell's volume is ``by_volume``; a cell without walls moves with its seeds, so that its own
+    seed has what its neighbours have, with the other sign."""
+    f = cells.select("cell_id", by_volume.alias("d"), F.inline("facets")).where("nbr_id >= 0")
+    there = f.select(F.col("nbr_id").alias("cell_id"), *[(F.col("d") * F.col(f"v{c}")).alias(f"g{c}") for c in AXES])
+    here = f.select("cell_id", *[(-F.col("d") * F.col(f"v{c}")).alias(f"g{c}") for c in AXES])
+    return there.union(here).groupBy("cell_id").agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in AXES])
+
+
 def compare_volumes(cells: DataFrame, oracle: DataFrame, least: float = 1e-3) -> DataFrame:
     """Mean, greatest and number of large relative differences of ``volume`` by cell."""
     o = oracle.select("cell_id", F.col("volume").alias("other"))
@@ -160,8 +170,11 @@ class Simulation:
             self.bodies = staged(moved.withColumns({c: wrap(F.col(c) + F.col(f"u{c}") * dt, e) for c, e in zip(AXES, self.box.edges.tolist())}), "bodies")
             if self.moving is not None:
                 self.moving.step(self.bodies)
+            drifted, old = self.bodies, self.forces
             self._forces()
-            self.bodies = staged(kicked(self.bodies), "bodies")
+            self.bodies = staged(kicked(drifted), "bodies")
+            for done in (drifted, old):  # nobody has seen them, or they are past
+                drop_staged(done)
             self.time += dt
         return self
 
@@ -177,6 +190,10 @@ class Simulation:
     def neighbor_counts(self) -> DataFrame:
         return self.cells.select("cell_id", "n_facets")
 
+    @property
+    def num_particles(self) -> int:
+        return self.n
+
     def kinetic_energy(self) -> float:
         return kinetic_energy(self.bodies).first()[0]
 
@@ -184,4 +201,4 @@ class Simulation:
         return internal_energy(self.cells, self.pressure, self.mean_volume).first()[0]
 
 
-__all__ = ["Simulation", "both_sides", "compare_neighbours", "compare_volumes", "interface_energy", "internal_energy", "invariants", "kinetic_energy", "pressure_force", "reciprocal", "stress", "velocity_gradient", "viscous_force"]
+__all__ = ["Simulation", "both_sides", "compare_neighbours", "compare_volumes", "interface_energy", "internal_energy", "invariants", "kinetic_energy", "pressure_force", "reciprocal", "seed_gradient", "stress", "velocity_gradient", "viscous_force"]

@@ -191,7 +191,7 @@ def tessellate(seeds: DataFrame, box: Box | float = 1.0, weighted: bool = False,
     Positions are in [0, edge).  Seeds go to the blocks near them in one shuffle; each block clips
     its own cells.  A cell that reaches beyond the ``halo`` (in mean spacings) is built again with
     twice that, until all are complete.  ``only``: a table of ``cell_id`` whose cells alone are
-    built.  With ``weighted``, ``w`` shifts planes as in power diagrams; a seed whose centre a
+    built, from the seeds near the blocks that own them.  With ``weighted``, ``w`` shifts planes as in power diagrams; a seed whose centre a
     neighbour's weight covers is empty.  With ``sdf``, cells are clipped at the solid.
 
     Null coordinates, weights or ids take no part.  An empty table gives no rows.
@@ -207,9 +207,12 @@ def tessellate(seeds: DataFrame, box: Box | float = 1.0, weighted: bool = False,
         rows = rows.withColumn("wanted", F.lit(True))
     edges, spacing = box.edges, box.spacing(n)
 
-    def built(which: DataFrame, reach: float) -> DataFrame:
+    def built(which: DataFrame, reach: float, some: bool) -> DataFrame:
         reach = float("inf") if 2 * reach >= min(edges) else reach
         near = replicated(which, box, grid, min(reach, float(max(edges))))
+        if some:  # seeds go only to blocks that own a wanted cell
+            asked = near.where("is_owned and wanted").select("block").distinct()
+            near = near.join(asked, "block", "left_semi")
 
         def kernel(t: pa.Table) -> pa.Table:
             t = t.sort_by("cell_id")  # a cell doesn't depend on the block or the order of arrival
@@ -223,14 +226,14 @@ def tessellate(seeds: DataFrame, box: Box | float = 1.0, weighted: bool = False,
 
     reach = halo * spacing + (w_max**0.5 if weighted and w_max > 0 else 0)
     if 2 * reach >= min(edges):
-        return built(rows, reach)
-    out = staged(built(rows, reach), "cells")
+        return built(rows, reach, only is not None)
+    out = staged(built(rows, reach, only is not None), "cells")
     parts = [out.where(F.col("status") != INCOMPLETE)]
     left = out.where(F.col("status") == INCOMPLETE).select("cell_id")
     while not left.isEmpty():
         reach *= 2
         again = rows.drop("wanted").join(left.withColumn("wanted", F.lit(True)), "cell_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        more = staged(built(again, reach), "cells")
+        more = staged(built(again, reach, True), "cells")
         parts.append(more.where(F.col("status") != INCOMPLETE))
         left = more.where(F.col("status") == INCOMPLETE).select("cell_id")
     for p in parts[1:]:

@@ -34,6 +34,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Deletes what ``staged`` wrote, for tables that no later plan reads."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/cellweave-" in folder:
+            at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def block_grid(box: Box, n: int, each: int, cores: int = 8) -> tuple[int, int, int]:
     """Blocks per axis: about ``each`` seeds in one, fewer while there are less blocks than cores."""
     return box.bins(n, max(64, min(each, n // max(1, 2 * cores))))
@@ -129,3 +138,21 @@ def refresh_halo(halo: DataFrame, moved: DataFrame) -> DataFrame:
 
 def owner(x: Column, y: Column, z: Column, box: Box, grid: tuple[int, int, int]) -> Column:
     return bin_id(x, y, z, box, grid)
+
+
+def candidate_lists(a: DataFrame, b: DataFrame, box: Box, radius: float) -> DataFrame:
+    """``cell_id, candidates``: the ids, ascending, of the points of ``b`` within ``radius`` of each of ``a``."""
+    pairs = neighbour_pairs(a, b, box, radius)
+    return pairs.groupBy("cell_id").agg(F.sort_array(F.collect_list("nbr_id")).alias("candidates"))
+
+
+def exclusive_scan(df: DataFrame, key: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``key`` (a long, once each).
+
+    Sums of ranges of ``width`` keys are scanned, a row for each, and rows within their range."""
+    part = F.floor(F.col(key) / width)
+    sums = df.groupBy(part.alias("scan_of")).agg(F.sum(value).alias("scan_sum"))
+    ahead = sums.select("scan_of", (F.sum("scan_sum").over(Window.orderBy("scan_of")) - F.col("scan_sum")).alias("scan_ahead"))
+    rows = df.withColumn("scan_part", part).join(ahead, F.col("scan_part") == F.col("scan_of"))
+    within = F.sum(value).over(Window.partitionBy("scan_part").orderBy(key)) - F.col(value)
+    return rows.withColumn(out, F.col("scan_ahead") + within).drop("scan_part", "scan_of", "scan_ahead")

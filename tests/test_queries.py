@@ -16,8 +16,7 @@ def rows(df):
     return sorted((tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in df), key=str)
 
 
-@pytest.mark.parametrize("name", ["seed_binning", "morton_code", "neighbor_range_join", "knn_closest_first", "nearest_seed_assignment", "block_halo_replication",
-                                  "voronoi_facets", "pressure_force", "velocity_gradient", "power_buried", "verlet_movers", "spheres_sdf"])
+@pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
     c.sql(f"create view embeddings as select * from '{DIR}/embeddings.parquet'")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import clip, moving, physics
 from cellweave.operators.tessellate import build_cells, corners_of, facets_of, planes_of, tessellate
+from cellweave.sources import from_arrays
 
 
 def unit_cell(neighbours, box=2.0):
@@ -128,3 +129,12 @@ def test_simulation_conserves_momentum(spark):
     p = sim.velocities().agg(*[F.sum(f"u{c}") for c in "xyz"]).first()
     assert max(map(abs, p)) < 1e-9 and sim.time == pytest.approx(2e-3)
     assert sim.internal_energy() + sim.kinetic_energy() == pytest.approx(before, rel=1e-3)
+
+
+def test_a_subset_is_built_from_the_blocks_that_own_it(spark):
+    x = np.random.default_rng(8).random((6000, 3))
+    seeds = from_arrays(spark, x)
+    some = spark.createDataFrame([(i,) for i in range(0, 40)], "cell_id long")
+    whole = {r["cell_id"]: (r["volume"], r["n_facets"]) for r in tessellate(seeds, topology=False, block_seeds=500).collect()}
+    part = {r["cell_id"]: (r["volume"], r["n_facets"]) for r in tessellate(seeds, topology=False, block_seeds=500, only=some).collect()}
+    assert part == {i: whole[i] for i in range(40)} and abs(sum(v for v, _ in whole.values()) - 1) < 1e-9
