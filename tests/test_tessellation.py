@@ -137,4 +137,7 @@ def test_a_subset_is_built_from_the_blocks_that_own_it(spark):
     some = spark.createDataFrame([(i,) for i in range(0, 40)], "cell_id long")
     whole = {r["cell_id"]: (r["volume"], r["n_facets"]) for r in tessellate(seeds, topology=False, block_seeds=500).collect()}
     part = {r["cell_id"]: (r["volume"], r["n_facets"]) for r in tessellate(seeds, topology=False, block_seeds=500, only=some).collect()}
-    assert part == {i: whole[i] for i in range(40)} and abs(sum(v for v, _ in whole.values()) - 1) < 1e-9
+    assert part.keys() == set(range(40))
+    for i, (volume, facets) in part.items():  # the blocks are others, which may change the last bits of the sums
+        assert facets == whole[i][1] and abs(volume / whole[i][0] - 1) < 1e-12
+    assert abs(sum(v for v, _ in whole.values()) - 1) < 1e-9
