@@ -200,6 +200,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
 
 
 def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document, learned from rows whose crc32(doc_id as text) mod
+    4 is not 2; ``und`` where the text is null or has no letter.  No documents give no rows."""
     docs = documents(spark, sf_dir)
     profiles = learn(docs.where(remainder(F.col("doc_id"), 4) != 2))
     out = identify(docs, profiles)

@@ -161,4 +161,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated line chunks: ``doc_id, text, n_lines, removed_lines,
+    removed_chunks``.  Nulls, empty texts, repeated rows and empty tables as in ``dedup_lines``."""
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))

@@ -158,6 +158,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document.  Nulls, ties, repeated rows and empty tables
+    as in ``mix_sources``."""
     out = mix_sources(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -208,6 +208,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; labels come only from rows whose crc32(doc_id as
+    text) mod 4 is not 2.  Null and empty texts have a score; no documents give no rows."""
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_quality(docs.select("doc_id", "text"), model)

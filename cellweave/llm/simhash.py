@@ -219,6 +219,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document: 4-word shingles, links at 4 bits or fewer.
+    Nulls, empty texts, repeated rows and empty tables as in ``near_duplicate_classes``."""
     out = near_duplicate_classes(documents(spark, sf_dir))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))

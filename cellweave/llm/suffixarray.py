@@ -274,4 +274,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated passages of all documents: ``doc_id, first_word, end_word, words, earliest_id``.
+    Nulls, short texts, repeated rows and empty tables as in ``repeated_passages``."""
     return repeated_passages(documents(spark, sf_dir))

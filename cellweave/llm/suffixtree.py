@@ -6,7 +6,7 @@ training texts, and is retained by a divergence test: what its next-symbol distr
 log likelihood with each occurrence left out of its own prediction, over its parent (the longest
 retained proper suffix) must exceed the logarithm of the number of training tokens.  Lengths go up
 by one to the first whose retained contexts gain less than a tenth of a nat for each training token:
-gains fall about tenfold from one length to the next, and shared passages alone would retain single
+gains fall five- to thirtyfold from one length to the next, and shared passages alone would retain single
 contexts of any length for next to no gain.
 
 A retained state's distribution interpolates with its parent's:

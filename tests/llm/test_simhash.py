@@ -51,7 +51,6 @@ def test_links_connect_like_all_pairs(spark, plan):
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     got = {f: f for f in fps}
     pairs = S.links(df, len(fps), plan=plan).toPandas().to_numpy().view(np.uint64).reshape(-1, 2)
-    assert all(bin(int(u) ^ int(v)).count("1") <= 64 for u, v in pairs)
     nodes, roots = C.forest(pairs[:, 0], pairs[:, 1])
     got.update({int(a): int(b) for a, b in zip(nodes, roots)})
     assert got == slow_roots(fps)
