@@ -57,7 +57,8 @@ def reevaluate(c: Cells, pos: np.ndarray, own: np.ndarray, all_ids: np.ndarray,
     seed = (np.arange(c.u.shape[1]) < c.count[:, None]) & (c.id >= 0)
     absent = seed & (all_ids[row] != c.id)
     lane, k = np.nonzero(seed & ~absent)
-    rel = min_image(all_pos[row[lane, k]] - pos[lane], box)
+    # the image that the plane was made by
+    rel = c.u[lane, k] + min_image(all_pos[row[lane, k]] - pos[lane] - c.u[lane, k], box)
     c.u[lane, k] = rel
     c.h[lane, k] = (rel * rel).sum(1) / 2 + ((w_own[lane] - all_w[row[lane, k]]) / 2 if all_w is not None else 0)
     cl = np.repeat(np.arange(c.n), c.nt)

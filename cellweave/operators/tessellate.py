@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..box import Box
-from ..plans import block_grid, replicated, staged
+from ..plans import staged
+from ..plans.blocks import Blocks
 from .clip import EMPTY, INCOMPLETE, OK, Cells, clip_against_solid, min_image
 
 FACETS = "array<struct<nbr_id:bigint,ax:double,ay:double,az:double,cx:double,cy:double,cz:double,rx:double,ry:double,rz:double,vx:double,vy:double,vz:double,area:double>>"
@@ -132,6 +133,8 @@ def build_cells(pos: np.ndarray, ids: np.ndarray, weights: np.ndarray | None, ow
         if limit >= len(pos):
             break
         more, limit = wanting(), 4 * limit
+    if not np.isfinite(halo):
+        further_images(cells, pos, ids, weights, mine, box, w_max)
     empty = cells.nt == 0
     status = np.where(empty, EMPTY, OK)
     if np.isfinite(halo):
@@ -142,6 +145,35 @@ def build_cells(pos: np.ndarray, ids: np.ndarray, weights: np.ndarray | None, ow
     return cells, status, mine
 
 
+def further_images(cells: Cells, pos, ids, weights, mine, box: np.ndarray, w_max: float) -> None:
+    """Clips cells that reach beyond a quarter of an edge by the seeds' images next to the nearest.
+
+    A place in such a cell lies within half an edge of its seed along each axis, so the image of a
+    neighbour nearest to it lies within an edge: along each axis the nearest to the seed, or the one
+    on the other side."""
+    weighted = weights is not None
+
+    def need() -> np.ndarray:
+        return (np.sqrt(cells.r2) + np.sqrt(cells.r2 + np.maximum(w_max - weights[mine], 0))) ** 2 if weighted else 4 * cells.r2
+
+    lanes = np.flatnonzero((cells.nt > 0) & (need() > (box.min() / 2) ** 2))
+    step = max(1, 100_000 // max(1, len(pos)))
+    sides = np.array(np.meshgrid(*[[0, 1]] * 3, indexing="ij")).reshape(3, -1).T[1:]
+    for lo in range(0, len(lanes), step):
+        some = lanes[lo : lo + step]
+        rel = min_image(pos[None] - pos[mine[some]][:, None], box)
+        rel = np.concatenate([rel - side * np.where(rel < 0, -box, box) for side in sides], 1)
+        d2 = (rel * rel).sum(2)
+        nbr = np.broadcast_to(np.tile(np.arange(len(pos)), len(sides)), d2.shape)
+        d2[ids[nbr] == ids[mine[some]][:, None]] = np.inf
+        reached = d2 <= need()[some][:, None]
+        at = _order(np.where(reached, d2, np.inf), int(max(1, reached.sum(1).max())))
+        got = np.take_along_axis(reached, at, 1)
+        rel = np.where(got[:, :, None], np.take_along_axis(rel, at[:, :, None], 1), np.inf)
+        nbr = np.take_along_axis(nbr, at, 1)
+        clip_by_neighbours(cells, some, rel, ids[nbr], weights[mine[some]] if weighted else None, np.where(got, weights[nbr], -np.inf) if weighted else None, w_max, weighted)
+
+
 def _list(counts: np.ndarray, fields: dict[str, np.ndarray]) -> pa.Array:
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields)))
@@ -189,8 +221,9 @@ def tessellate(seeds: DataFrame, box: Box | float = 1.0, weighted: bool = False,
     """The cells of ``seeds(cell_id, x, y, z[, w])`` in a periodic box, a row each, schema ``CELLS``.
 
     Positions are in [0, edge).  Seeds go to the blocks near them in one shuffle; each block clips
-    its own cells.  A cell that reaches beyond the ``halo`` (in mean spacings) is built again with
-    twice that, until all are complete.  ``only``: a table of ``cell_id`` whose cells alone are
+    its own cells.  Blocks hold about ``block_seeds`` seeds each however they lie.  A cell that
+    reaches beyond the ``halo`` (in its block's own spacings) is built again with four times that,
+    until all are complete.  ``only``: a table of ``cell_id`` whose cells alone are
     built, from the seeds near the blocks that own them.  With ``weighted``, ``w`` shifts planes as in power diagrams; a seed whose centre a
     neighbour's weight covers is empty.  With ``sdf``, cells are clipped at the solid.
 
@@ -200,45 +233,53 @@ def tessellate(seeds: DataFrame, box: Box | float = 1.0, weighted: bool = False,
     w = F.col("w").cast("double") if weighted else F.lit(0.0)
     rows = seeds.select(F.col("cell_id").cast("long").alias("cell_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], w.alias("w")).dropna()
     n, w_max = rows.agg(F.count("*"), F.max("w")).first()
-    grid, w_max = block_grid(box, n, block_seeds, seeds.sparkSession.sparkContext.defaultParallelism), float(w_max or 0)
-    if only is not None:
-        rows = rows.join(only.select("cell_id", F.lit(True).alias("wanted")), "cell_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    else:
-        rows = rows.withColumn("wanted", F.lit(True))
-    edges, spacing = box.edges, box.spacing(n)
-
-    def built(which: DataFrame, reach: float, some: bool) -> DataFrame:
-        reach = float("inf") if 2 * reach >= min(edges) else reach
-        near = replicated(which, box, grid, min(reach, float(max(edges))))
-        if some:  # seeds go only to blocks that own a wanted cell
-            asked = near.where("is_owned and wanted").select("block").distinct()
-            near = near.join(asked, "block", "left_semi")
+    w_max = float(w_max or 0)
+    blocks = Blocks.fitted(rows, box, n, block_seeds, seeds.sparkSession.sparkContext.defaultParallelism)
+    edges = box.edges
 
+    def built(which: DataFrame, reach: np.ndarray) -> DataFrame:
         def kernel(t: pa.Table) -> pa.Table:
             t = t.sort_by("cell_id")  # a cell doesn't depend on the block or the order of arrival
             own = t["is_owned"].to_numpy() & t["wanted"].to_numpy()
             pos = np.stack([t[c].to_numpy() for c in "xyz"], 1)
             ids, wt = t["cell_id"].to_numpy(), t["w"].to_numpy() if weighted else None
-            cells, status, mine = build_cells(pos, ids, wt, own, edges, n, reach, w_max, sdf)
+            block = t["block"][0].as_py()
+            like = max(1, round(box.volume / blocks.spacing[block] ** 3))  # seeds in the box if all of it were as dense
+            cells, status, mine = build_cells(pos, ids, wt, own, edges, like, float(reach[block]), w_max, sdf)
             return as_table(cells, status, pos[mine], ids[mine], wt[mine] if weighted else None, topology)
 
-        return near.groupBy("block").applyInArrow(kernel, CELLS)
-
-    reach = halo * spacing + (w_max**0.5 if weighted and w_max > 0 else 0)
-    if 2 * reach >= min(edges):
-        return built(rows, reach, only is not None)
-    out = staged(built(rows, reach, only is not None), "cells")
-    parts = [out.where(F.col("status") != INCOMPLETE)]
-    left = out.where(F.col("status") == INCOMPLETE).select("cell_id")
-    while not left.isEmpty():
-        reach *= 2
-        again = rows.drop("wanted").join(left.withColumn("wanted", F.lit(True)), "cell_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        more = staged(built(again, reach, True), "cells")
-        parts.append(more.where(F.col("status") != INCOMPLETE))
-        left = more.where(F.col("status") == INCOMPLETE).select("cell_id")
+        return blocks.replicated(which, reach).groupBy("block").applyInArrow(kernel, CELLS)
+
+    def wanted_rows(some: DataFrame) -> DataFrame:
+        some = some.select("cell_id", F.lit(True).alias("wanted"))
+        return rows.join(some, "cell_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+    def asked(reach: np.ndarray, some: DataFrame) -> np.ndarray:
+        """Seeds go only to blocks that own a wanted cell, to all of the box from half an edge on."""
+        reach = np.where(2 * reach >= min(edges), np.inf, reach)
+        return np.where(np.isin(np.arange(len(blocks)), blocks.owners(some)), reach, -1.0)
+
+    reach = halo * blocks.spacing + (w_max**0.5 if weighted and w_max > 0 else 0)
+    if only is not None:
+        which = wanted_rows(only)
+        now = asked(reach, which.where("wanted"))
+    else:
+        which, now = rows.withColumn("wanted", F.lit(True)), np.where(2 * reach >= min(edges), np.inf, reach)
+    if np.isinf(now[now >= 0]).all():
+        return built(which, now)
+    parts = []
+    while True:
+        out = staged(built(which, now), "cells")
+        parts.append(out.where(F.col("status") != INCOMPLETE))
+        left = out.where(F.col("status") == INCOMPLETE)
+        if left.isEmpty():
+            break
+        reach = 4 * reach
+        which, now = wanted_rows(left), asked(reach, left)
+    out = parts[0]
     for p in parts[1:]:
-        out = parts[0] = parts[0].union(p)
-    return parts[0]
+        out = out.union(p)
+    return out
 
 
 def facets_of(cells: DataFrame) -> DataFrame:
