@@ -112,21 +112,147 @@ def free_energy(v: np.ndarray, ref: np.ndarray):
     return ref * (e - np.log(ref)), ref * d1, ref * d2
 
 
-def _product(s: State, x: np.ndarray) -> np.ndarray:
-    """dV for a displacement x (n, 3)."""
-    return (s.own * x).sum(1) + np.bincount(s.i, (s.dv * x[s.j]).sum(1), len(s.volume))
-
-
-def _transposed(s: State, y: np.ndarray) -> np.ndarray:
-    out = s.own * y[:, None]
-    for k in range(3):
-        out[:, k] += np.bincount(s.j, s.dv[:, k] * y[s.i], len(s.volume))
+class Normal:
+    """The Gauss-Newton matrix J' diag(curve) J, never formed: J's entries are ``coef`` (m, d) in the
+    rows ``cell`` and the blocks of d columns ``node``."""
+
+    def __init__(self, cell: np.ndarray, node: np.ndarray, coef: np.ndarray, curve: np.ndarray, nodes: int):
+        self.cell, self.node, self.coef, self.curve, self.nodes = cell, node, coef, curve, nodes
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cell, (self.coef * x[self.node]).sum(1), len(self.curve))
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.node, c * y[self.cell], self.nodes) for c in self.coef.T], 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.back(self.curve * self.forward(x))
+
+    def diagonal(self) -> np.ndarray:
+        return 1e-12 + np.stack([np.bincount(self.node, c * c * self.curve[self.cell], self.nodes) for c in self.coef.T], 1)
+
+    def blocks(self) -> np.ndarray:
+        """The d x d blocks on the diagonal; a node met twice by one cell (through two images) counts as two."""
+        out = np.zeros((self.nodes, self.coef.shape[1], self.coef.shape[1]))
+        for k, c in enumerate(self.coef.T):
+            for m, e in enumerate(self.coef.T):
+                out[:, k, m] = np.bincount(self.node, c * e * self.curve[self.cell], self.nodes)
+        return out + 1e-12 * np.eye(self.coef.shape[1])
+
+    def merged(self) -> "Normal":
+        """The same matrix with one entry for each cell and node."""
+        pair, at = np.unique(self.cell * self.nodes + self.node, return_inverse=True)
+        coef = np.stack([np.bincount(at, c, len(pair)) for c in self.coef.T], 1)
+        return Normal(pair // self.nodes, pair % self.nodes, coef, self.curve, self.nodes)
+
+
+def colours(cell: np.ndarray, node: np.ndarray, cells: int, nodes: int) -> np.ndarray:
+    """A number for each node such that no two nodes of a cell share one: one maximal independent set
+    after another, nodes of greater rank (a fixed shuffle) first."""
+    rank, out, colour = np.random.default_rng(0).permutation(nodes), np.full(nodes, -1), 0
+    while (out < 0).any():
+        free = out < 0
+        while free.any():
+            own = np.where(free, rank, -1)
+            top = np.full(cells, -1)
+            np.maximum.at(top, cell, own[node])
+            pick = free.copy()
+            pick[node[top[cell] != own[node]]] = False
+            out[pick] = colour
+            met = np.zeros(cells, bool)
+            met[cell[pick[node]]] = True
+            free &= ~pick
+            free[node[met[cell]]] = False
+        colour += 1
     return out
 
 
-def _cg(apply, b: np.ndarray, precondition: np.ndarray, iters: int, tol: float = 1e-10) -> np.ndarray:
+def coloured_sweeps(h: Normal):
+    """Symmetric Gauss-Seidel: nodes of a colour share no cell, so they are relaxed together; sweeps
+    go up the colours and down again, with J x kept up to date."""
+    h = h.merged()
+    number = colours(h.cell, h.node, len(h.curve), h.nodes)
+    solve, order = np.linalg.inv(h.blocks()), np.argsort(number[h.node], kind="stable")
+    cuts = np.searchsorted(number[h.node][order], np.arange(number.max(initial=-1) + 2))
+    parts = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = order[lo:hi]
+        nodes, local = np.unique(h.node[at], return_inverse=True)
+        parts.append((nodes, Normal(h.cell[at], local, h.coef[at], h.curve, len(nodes))))
+
+    def run(r: np.ndarray) -> np.ndarray:
+        x, y = np.zeros_like(r), np.zeros(len(h.curve))
+        for nodes, j in parts + parts[::-1]:
+            step = np.einsum("nij,nj->ni", solve[nodes], r[nodes] - j.back(h.curve * y))
+            x[nodes] += step
+            np.add.at(y, j.cell, (j.coef * step[j.node]).sum(1))
+        return x
+
+    return run
+
+
+def aggregates(h: Normal) -> np.ndarray:
+    """The aggregate of each node: a colour's nodes are roots, and the others go with the first root
+    that shares a cell with them."""
+    roots = np.flatnonzero(colours(h.cell, h.node, len(h.curve), h.nodes) == 0)
+    out = np.full(h.nodes, len(roots))
+    out[roots] = np.arange(len(roots))
+    near = np.full(len(h.curve), len(roots))
+    np.minimum.at(near, h.cell, out[h.node])
+    found = np.full(h.nodes, len(roots))
+    np.minimum.at(found, h.node, near[h.cell])
+    out = np.where(out < len(roots), out, found)
+    return np.unique(out, return_inverse=True)[1]
+
+
+def graph_cycle(h: Normal, coarsest: int = 60):
+    """A V-cycle over aggregates of the graph: damped Jacobi, the correction by constants on
+    aggregates, damped Jacobi; the coarsest level is solved densely."""
+    size = np.sqrt(h.diagonal().mean(0))  # positions and weights differ in their units
+    scaled = _cycle(Normal(h.cell, h.node, h.coef / size, h.curve, h.nodes).merged(), coarsest)
+    return lambda r: scaled(r / size) / size
+
+
+def _cycle(h: Normal, coarsest: int):
+    d = h.coef.shape[1]
+    if h.nodes <= coarsest:
+        full = np.stack([h(e.reshape(h.nodes, d)).ravel() for e in np.eye(h.nodes * d)], 1)
+        solve = np.linalg.pinv((full + full.T) / 2 + 1e-12 * np.eye(len(full)) * np.trace(full) / len(full), rcond=1e-13, hermitian=True)
+        return lambda r: (solve @ r.ravel()).reshape(r.shape)
+    group, diagonal = aggregates(h), h.diagonal()
+    count = int(group.max()) + 1
+    if count >= h.nodes:
+        return lambda r: r / diagonal
+    below = _cycle(Normal(h.cell, group[h.node], h.coef, h.curve, count).merged(), coarsest)
+    v, top = np.random.default_rng(0).random((h.nodes, d)), 1.0
+    for _ in range(20):  # the greatest eigenvalue of the scaled matrix, from below
+        v = h(v) / diagonal
+        top = float(np.abs(v).max())
+        v /= top
+    damp = 1.0 / (1.1 * top) / diagonal
+
+    def run(r: np.ndarray) -> np.ndarray:
+        x = damp * r
+        left = r - h(x)
+        x = x + below(np.stack([np.bincount(group, c, count) for c in left.T], 1))[group]
+        return x + damp * (r - h(x))
+
+    return run
+
+
+def _jacobian(s: State, d2: np.ndarray, weights: tuple[np.ndarray, np.ndarray] | None = None) -> Normal:
+    """By positions and, with ``weights`` (of neighbours, of cells), by weights."""
+    n = len(s.volume)
+    own, dv = s.own, s.dv
+    if weights is not None:
+        own, dv = np.column_stack((own, weights[1])), np.column_stack((dv, -weights[0]))
+    return Normal(np.concatenate((np.arange(n), s.i)), np.concatenate((np.arange(n), s.j)), np.concatenate((own, dv)), d2, n)
+
+
+def _cg(apply, b: np.ndarray, precondition, iters: int, tol: float = 1e-10) -> np.ndarray:
+    """Conjugate gradients; ``precondition`` maps a residual to a step."""
     x, r = np.zeros_like(b), b.copy()
-    z = r / precondition
+    z = precondition(r)
     p, rz = z.copy(), float((r * z).sum())
     stop = tol**2 * float((b * b).sum())
     for _ in range(iters):
@@ -138,7 +264,7 @@ def _cg(apply, b: np.ndarray, precondition: np.ndarray, iters: int, tol: float =
         x, r = x + step * p, r - step * ap
         if float((r * r).sum()) <= stop:
             break
-        z = r / precondition
+        z = precondition(r)
         rz, old = float((r * z).sum()), rz
         p = z + rz / old * p
     return x
@@ -155,8 +281,8 @@ def optimize_volume_mesh(positions: np.ndarray, vset: np.ndarray, box: Box | flo
     stops when no component of the gradient exceeds ``tol``.
 
     ``mu_barrier`` adds a decaying logarithmic barrier against collapse; ``use_free_energy`` minimises
-    -vset log V instead.  ``method``: the step's preconditioner (jacobi; graphamg and colored_gs are
-    served by it) or steepest descent; any other name is an error.
+    -vset log V instead.  ``method``: the step's preconditioner (jacobi, colored_gs: ``coloured_sweeps``,
+    graphamg: ``graph_cycle``) or steepest descent; any other name is an error.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}, not {method!r}")
@@ -180,30 +306,21 @@ def optimize_volume_mesh(positions: np.ndarray, vset: np.ndarray, box: Box | flo
     it, converged = 0, False
     for it in range(max_newton + 1):
         e, d1, d2 = cost(s.volume, mu)
-        g = _transposed(s, d1)
-        if use_weights:
-            a, diag = weight_terms(s)
-            gw = diag * d1 - np.bincount(s.j, a * d1[s.i], n)
-        size = max(np.abs(g).max(initial=0), np.abs(gw).max(initial=0) if use_weights else 0)
-        if size < tol:
+        h = _jacobian(s, d2, weight_terms(s) if use_weights else None)
+        g = h.back(d1)
+        if np.abs(g).max(initial=0) < tol:
             converged = True
             break
         if it == max_newton:
             break
         if method == "steepest":
-            step, step_w = -g, -gw if use_weights else None
-        elif use_weights:
-            full = lambda p: _product(s, p[:, :3]) + diag * p[:, 3] - np.bincount(s.i, a * p[s.j, 3], n)
-            back = lambda y: np.column_stack((_transposed(s, y), diag * y - np.bincount(s.j, a * y[s.i], n)))
-            pre = np.full((n, 4), 1e-12)
-            pre[:, :3] += (s.own**2).sum(1, keepdims=True) * d2[:, None] + np.bincount(s.j, (s.dv**2).sum(1) * d2[s.i], n)[:, None]
-            pre[:, 3] += diag**2 * d2 + np.bincount(s.j, a * a * d2[s.i], n)
-            both = _cg(lambda p: back(d2 * full(p)) + 1e-10 * pre * p, -np.column_stack((g, gw)), pre, cg_iters)
-            step, step_w = both[:, :3], both[:, 3]
+            both = -g
         else:
-            pre = 1e-12 + (s.own**2) * d2[:, None] + np.stack([np.bincount(s.j, s.dv[:, k] ** 2 * d2[s.i], n) for k in range(3)], 1)
-            step, step_w = _cg(lambda p: _transposed(s, d2 * _product(s, p)) + 1e-10 * pre * p, -g, pre, cg_iters), None
-        slope = float((g * step).sum()) + (float((gw * step_w).sum()) if use_weights else 0)
+            diagonal = h.diagonal()
+            solve = coloured_sweeps(h) if method == "colored_gs" else graph_cycle(h) if method == "graphamg" else lambda r: r / diagonal
+            both = _cg(lambda p: h(p) + 1e-10 * diagonal * p, -g, solve, cg_iters)
+        step, step_w = both[:, :3], both[:, 3] if use_weights else None
+        slope = float((g * both).sum())
         longest = np.sqrt((step**2).sum(1)).max(initial=0)
         t = min(1.0, 0.25 * box.spacing(n) / longest) if longest > 0 else 1.0
         for _ in range(24):
@@ -262,7 +379,7 @@ def optimal_transport_weights(positions: np.ndarray, vset: np.ndarray, box: Box
 
         b = r.copy()
         b[0] = 0
-        step, t, before = _cg(apply, b, np.maximum(diag, 1e-30), 20 * int(n**0.5) + 200), damping, float(np.sqrt((r * r).sum()))
+        step, t, before = _cg(apply, b, lambda r: r / np.maximum(diag, 1e-30), 20 * int(n**0.5) + 200), damping, float(np.sqrt((r * r).sum()))
         for _ in range(30):
             s2 = run(x, w + t * step)
             r2 = goal - s2.volume

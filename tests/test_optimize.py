@@ -98,3 +98,45 @@ def test_tangent_cuts_keep_the_fluid_of_a_cell():
         corners = seeds[i] + cells.v[i, : cells.nt[i]]
         assert cells.count[i] >= 6 + 24 or sdf.value(corners).min() >= -1e-8
     assert cut > 5
+
+
+def normal_matrix(n=70):
+    s = O.Evaluator(None, Box())(points(n, 5), None)
+    h = O._jacobian(s, 2.0 * n * n * np.ones(n))
+    return h, np.stack([h(e.reshape(n, 3)).ravel() for e in np.eye(3 * n)], 1)
+
+
+def test_colours_part_the_nodes_of_a_cell():
+    h, full = normal_matrix()
+    number = O.colours(h.cell, h.node, len(h.curve), h.nodes)
+    for c in range(number.max() + 1):
+        on = np.repeat(number == c, 3)
+        apart = full[np.ix_(on, on)] * (1 - np.kron(np.eye(on.sum() // 3), np.ones((3, 3))))
+        assert on.any() and not apart.any()
+
+
+def test_preconditioners_are_symmetric_and_positive():
+    h, full = normal_matrix()
+    assert np.allclose(full, full.T)
+    block = np.kron(np.eye(h.nodes), np.ones((3, 3))) * full
+    for solve in (O.coloured_sweeps(h), O.graph_cycle(h, coarsest=10)):
+        m = np.stack([solve(e.reshape(h.nodes, 3)).ravel() for e in np.eye(len(full))], 1)
+        assert np.allclose(m, m.T, rtol=1e-6, atol=1e-9 * np.abs(m).max()) and np.linalg.eigvalsh((m + m.T) / 2).min() > 0
+    # one symmetric sweep against its definition, with the nodes in the order of their colours
+    number = O.colours(h.cell, h.node, len(h.curve), h.nodes)
+    at = (np.argsort(number, kind="stable")[:, None] * 3 + np.arange(3)).ravel()
+    a, d = full[np.ix_(at, at)], block[np.ix_(at, at)]
+    low = np.tril(a - d) + d
+    r = np.random.default_rng(1).random(len(full))
+    want = np.linalg.solve(low.T, d @ np.linalg.solve(low, r[at]))
+    assert np.allclose(O.coloured_sweeps(h)(r.reshape(-1, 3)).ravel()[at], want, rtol=1e-5)
+
+
+@pytest.mark.parametrize("method", ["colored_gs", "graphamg"])
+def test_preconditioned_meshes_even_out(method):
+    n = 120
+    r = O.optimize_volume_mesh(points(n), np.full(n, 1 / n), max_newton=12, cg_iters=40, method=method)
+    plain = O.optimize_volume_mesh(points(n), np.full(n, 1 / n), max_newton=12, cg_iters=40)
+    assert r.max_vol_err < 1e-6 and r.max_vol_err <= 10 * plain.max_vol_err + 1e-9
+    w = O.optimize_volume_mesh(points(60), np.full(60, 1 / 60), max_newton=15, cg_iters=60, method=method, use_weights=True)
+    assert w.max_vol_err < 1e-4
