@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..box import Box
-from .tessellate import corners_of, planes_of, tessellate
+from ..plans import nearest
+from .clip import Cells, clip_against_solid
+from .tessellate import CELLS, EMPTY, INCOMPLETE, OK, as_table, clip_by_neighbours, corners_of, planes_of, tessellate
 from .walls import PeriodicSpheres
 
 
@@ -92,3 +96,42 @@ def walled_polyhedra(seeds: DataFrame, centres, radii, box: Box | float = 1.0) -
 
 def walled_sections(seeds: DataFrame, centres, radii, origin, normal, box: Box | float = 1.0) -> DataFrame:
     return sections(walled_cells(seeds, centres, radii, box), origin, normal)
+
+
+def pore_cells(seeds: DataFrame, which: DataFrame, centres, radii, box: Box | float = 1.0, k: int = 80) -> DataFrame:
+    """The cells, schema ``CELLS``, of the seeds that ``which(cell_id)`` names, each from its ``k`` nearest
+    seeds alone, in the pores of a periodic sphere packing; nothing else is tessellated.
+
+    A cell that seeds further than the kth, or than half an edge, could still cut has status INCOMPLETE, a seed inside a
+    sphere has an empty cell.  Ids that ``seeds`` doesn't hold, and nulls, give no row; a repeated id
+    gives one."""
+    box = Box.of(box)
+    solid = PeriodicSpheres(tuple(map(tuple, centres)), tuple(radii), box)
+    rows = seeds.select(F.col("cell_id").cast("long").alias("cell_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
+    own, n = rows.join(which.select("cell_id").distinct(), "cell_id", "left_semi"), rows.count()
+    near = nearest(own, rows, box, k, n).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr_id", "rx", "ry", "rz"))).alias("near"))
+    edges = box.edges
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, pos = b["cell_id"].to_numpy(), np.stack([b[c].to_numpy() for c in "xyz"], 1)
+            lists = b["near"]
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
+            flat, m = lists.flatten(), len(ids)
+            lane = np.repeat(np.arange(m), counts)
+            at = np.arange(len(lane)) - np.repeat(np.cumsum(counts) - counts, counts)
+            width = max(1, int(counts.max(initial=0)))
+            rel, nbr = np.full((m, width, 3), np.inf), np.full((m, width), -1)
+            rel[lane, at] = np.stack([flat.field(f"r{c}").to_numpy() for c in "xyz"], 1)
+            nbr[lane, at] = flat.field("nbr_id").to_numpy()
+            cells = Cells(m, edges)
+            clip_by_neighbours(cells, np.arange(m), rel, nbr, None, None, 0.0, False)
+            clip_against_solid(cells, pos, solid)
+            last = np.where(counts < n - 1, (rel[np.arange(m), np.maximum(counts, 1) - 1] ** 2).sum(1), np.inf)
+            status = np.where(4 * cells.r2 > np.minimum(last, (edges.min() / 2) ** 2), INCOMPLETE, OK)
+            status[cells.nt == 0] = EMPTY
+            yield from as_table(cells, status, pos, ids, None, True).to_batches()
+
+    return own.join(near, "cell_id", "left").mapInArrow(run, CELLS)

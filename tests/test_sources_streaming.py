@@ -96,6 +96,43 @@ def test_stream_of_moves_follows_and_completes_batches(spark, tmp_path):
     assert [(r["cell_id"], r["moved"]) for r in moves.collect()] == [(1, 0.75)]
 
 
+def test_a_new_driver_goes_on_behind_the_last_batch(spark, tmp_path):
+    x = points(120)
+    seeds = from_arrays(spark, x)
+
+    def batch(i, *places):
+        return spark.createDataFrame([(i, *p) for p in places], "cell_id long, x double, y double, z double")
+
+    one, two = batch(7, (0.1, 0.2, 0.3), (0.1, 0.25, 0.1)), batch(9, (0.7, 0.7, 0.7))
+    first = Follower(Moving().build(seeds), seeds, folder=str(tmp_path))
+    first.apply(one, 0)
+    x[7], x[9] = (0.1, 0.25, 0.1), (0.7, 0.7, 0.7)
+    again = Follower(Moving(), seeds, folder=str(tmp_path))
+    again.apply(one, 0)  # given again: skipped
+    assert again.done == 0 and not again.steps
+    again.apply(two, 1)
+    assert len(again.steps) == 1 and np.allclose(to_array(again.positions, "x", "y", "z"), x)
+    diff = physics.compare_volumes(again.moving.cells, tessellate(from_arrays(spark, x))).first()
+    assert diff["max_error"] < 1e-6
+
+
+def test_pore_cells_equal_those_of_the_whole_build(spark):
+    x = points(1200, 6)
+    seeds, balls, radii = from_arrays(spark, x), points(5, 2).tolist(), [0.1] * 5
+    which = spark.createDataFrame([(i,) for i in (*range(0, 1200, 40), 3, 3, 5000)] + [(None,)], "cell_id long")
+    got = shapes.pore_cells(seeds, which, balls, radii)
+    whole = shapes.walled_cells(seeds, balls, radii)
+    a = {r["cell_id"]: r for r in got.select("cell_id", "status", "volume", "n_facets").collect()}
+    b = {r["cell_id"]: r for r in whole.select("cell_id", "status", "volume", "n_facets").collect()}
+    assert got.count() == len(a) == 31 and 3 in a
+    done = [i for i in a if a[i]["status"] != 1]
+    assert len(done) > 25 and all(a[i]["volume"] == pytest.approx(b[i]["volume"], abs=1e-12) for i in done)
+    assert all(a[i]["status"] == b[i]["status"] for i in done)
+    few = shapes.pore_cells(seeds, which, balls, radii, k=6)
+    assert few.where(F.col("status") == 1).count() > 20
+    assert shapes.pore_cells(seeds, which.where("cell_id < 0"), balls, radii).count() == 0
+
+
 @pytest.mark.parametrize("solid", [HalfSpace((0, 0, 0.3), (0, 0, 1)), Sphere((0.5, 0.5, 0.5), 0.25)])
 def test_wall_force_by_finite_difference(spark, solid):
     x = points(90, 4)
