@@ -28,10 +28,11 @@ from .common import NO_ID, bitmap, col, documents, fresh, row_key, sift, staged
 from .components import components, forest
 
 #: (bits, radius) of each segment: while distances up to 4 are asked for, one segment must be within.
+#: SMALL_PLAN is used at every size.  LARGE_PLAN gives the same links from longer segments and larger
+#: balls: 282 rows for a fingerprint instead of 25, in buckets emptier by a factor of 1,024; it can be
+#: asked for where the square of the bucket's size is what counts (tens of billions of fingerprints).
 SMALL_PLAN = ((22, 1), (22, 1), (20, 0))
-#: For more than PLAN_ROWS distinct fingerprints: longer segments, larger balls, emptier buckets.
 LARGE_PLAN = ((32, 2), (32, 1))
-PLAN_ROWS = 1 << 24
 
 
 def words_of(text: str) -> list[bytes]:
@@ -147,9 +148,8 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: i
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def links(fps: DataFrame, n: int, radius: int = 4, plan=None) -> DataFrame:
-    """Distinct ``fp`` -> ``u, v`` that connect whatever fingerprints within ``radius`` connect."""
-    plan = plan or (SMALL_PLAN if n <= PLAN_ROWS else LARGE_PLAN)
+def links(fps: DataFrame, n: int, radius: int = 4, plan=SMALL_PLAN) -> DataFrame:
+    """``n`` distinct ``fp`` -> ``u, v`` that connect whatever fingerprints within ``radius`` connect."""
     if sum(b for b, _ in plan) != 64 or sum(r + 1 for _, r in plan) <= radius:
         raise ValueError("the plan's segments don't cover the fingerprint and radius")
     per_row = sum(1 + sum(_choose(b, r) for r in range(1, rad + 1)) / 2 for b, rad in plan)
