@@ -82,3 +82,48 @@ def test_a_large_loose_group_is_linear(monkeypatch):
     monkeypatch.setattr(S, "_overlap", lambda one, words, starts, sizes: compared.append(len(sizes)) or real(one, words, starts, sizes))
     links = S.bucket_links(np.arange(len(sets)), sets)
     assert len(links) == 1484 and sum(compared) < 60 * len(sets)
+
+
+def test_texts_that_share_a_passage_are_not_compared_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(2)
+    new = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    passage, sets, pairs = new(60), [], set()
+    for k in range(1500):  # the passage is from a fifth to six sevenths of the text
+        sets.append(np.unique(np.concatenate((passage, new(int(rng.integers(10, 240)))))))
+        if k % 50 == 0:
+            pairs.add((len(sets) - 1, len(sets)))
+            sets.append(np.unique(np.concatenate((sets[-1][3:], new(2)))))
+    compared, real = [], S._overlap
+    monkeypatch.setattr(S, "_overlap", lambda one, words, starts, sizes: compared.append(len(sizes)) or real(one, words, starts, sizes))
+    links = S.bucket_links(np.arange(len(sets)), sets)
+    assert {tuple(sorted(map(int, x))) for x in links} == pairs
+    assert sum(compared) < 10 * len(sets)
+
+
+def test_sets_of_any_loose_clusters_connect_like_all_pairs():
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        pool = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+        sets = {}
+        for _ in range(int(rng.integers(9, 60))):  # small sets from one pool, so that many pairs are near the bound
+            base = pool[: rng.integers(1, 40)]
+            s = np.unique(base[rng.random(len(base)) < rng.choice([0.8, 0.9, 1])])
+            if len(s):
+                sets.setdefault(s.tobytes(), s)
+        sets = list(sets.values())
+        links = S.bucket_links(np.arange(len(sets)), sets)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert bool(links) == bool(pairs)
+        if pairs:
+            got, want = (C.forest(*map(np.array, zip(*e))) for e in (links, pairs))
+            assert all((x == y).all() for x, y in zip(got, want))
+
+
+def test_a_crowded_bucket_is_split_by_sizes_without_a_loss(spark, monkeypatch):
+    sizes = np.arange(1, 3000)
+    band = np.searchsorted(S.size_edges(), sizes, "right")
+    assert all(band[b - 1] - band[a - 1] in (0, 1) for a in sizes.tolist() for b in {a, min(2999, 5 * a // 4)})
+    monkeypatch.setattr(S, "CROWD", 1)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in P.one_of_near_duplicates(spark, df, "").collect()) == sorted(slow_heads(rows))
