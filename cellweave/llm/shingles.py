@@ -1,10 +1,12 @@
 """Near-duplicates by the exact similarity of word shingles.
 
-Texts are sets of hashed shingles of ``SHINGLE`` words.  Two sets with a Jaccard similarity of s
-have their least element, by a random order, in common with probability s; sets meet under
-``MINIMA`` such elements, so a pair at ``LEAST`` stays apart with probability 0.2 ** 8, under 3 in
-a million, and nearer pairs less.  Buckets with the same members are one.  Those that meet are
-compared by their whole sets, and only pairs of similarity ``LEAST`` or more link.
+Texts are sets of hashed shingles of ``SHINGLE`` words.  Those whose SimHash fingerprints multi-index
+hashing connects at ``RADIUS`` or fewer bits meet.  Fewer bits than any index could look up round a
+fingerprint tell the nearest pairs alone: at similarity ``LEAST`` ten of 64 differ on average.  So sets
+also meet under their least elements in ``MINIMA`` random orders.  Two sets with a Jaccard similarity
+of s have one in common with probability s, so a pair at ``LEAST`` stays apart there with probability
+0.2 ** 8, under 3 in a million, and nearer pairs less.  Buckets with the same members are one.  Those
+that meet are compared by their whole sets, and only pairs of similarity ``LEAST`` or more link.
 
 Equal sets are one entry.  A bucket of many sets is split by size: each band of sizes meets the next.
 In a bucket sets are not compared pair by pair.  A passage that many texts hold makes large buckets
@@ -25,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bitmap, col, in_bitmap, lean, row_key, staged
 from .components import components
 from .exchange import mix
 from .suffixarray import word_hashes
 
-SHINGLE, MINIMA = 5, 8
+SHINGLE, MINIMA, RADIUS = 5, 8, 4
 #: Similarities in tenths: of links, of sets that are near each other through a pivot, of those that may reach them.
 LEAST, HALF, BEYOND = 8, 9, 7
 #: A bucket of more sets is split by their sizes; one of no more than FEW is compared without looking for shared elements.
@@ -53,11 +56,11 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) if len(shingles) else 0
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The bucket of the least element in each of MINIMA orders."""
+def minima(shingles: np.ndarray, orders: int = MINIMA) -> np.ndarray:
+    """The bucket of the least element in each order."""
     if not len(shingles):
         return np.zeros(0, np.uint64)
-    return np.array([mix(mix(shingles, 11 + i).min(keepdims=True), 31 + i)[0] for i in range(MINIMA)], np.uint64)
+    return np.array([mix(mix(shingles, 11 + i).min(keepdims=True), 31 + i)[0] for i in range(orders)], np.uint64)
 
 
 def size_edges(most: int = 1 << 40) -> np.ndarray:
@@ -170,9 +173,11 @@ def rarest_shared(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[n
             yield who[owner[lo:hi]], left[lo:hi]
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: int = MINIMA, radius: int = RADIUS) -> DataFrame:
     """A row per input row: ``key, fp, component``; ``fp`` names the row's set of shingles and
-    ``component`` is the least key reached.  Null and empty texts are alike."""
+    ``component`` is the least key reached.  Null and empty texts are alike.
+
+    With no ``orders`` only sets that the fingerprints' index connects within ``radius`` bits meet."""
     rows = docs.select(row_key(col(id_col), col(text_col)).alias("key"), col(text_col).cast("string").alias("text"))
 
     edges = size_edges()
@@ -180,14 +185,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x.as_py() or "") for x in b.column(1)]
-            least = [minima(s).view(np.int64) for s in sets]
+            least = [minima(s, orders).view(np.int64) for s in sets]
+            prints = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
             ids = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
             band = np.searchsorted(edges, [len(s) for s in sets], "right")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(band, pa.int32()), pa.array(least, pa.list_(pa.int64()))], names=["key", "fp", "band", "minima"])
-
-    known = staged(rows.mapInArrow(lean(describe), "key long, fp long, band int, minima array<long>"), "sets")
-    entries = staged(known.groupBy("fp").agg(F.min("key").alias("head"), F.min("band").alias("band"), F.min("minima").alias("minima")), "entries")
-    under = entries.select("fp", "head", "band", F.explode("minima").alias("bucket"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(band, pa.int32()), pa.array(prints), pa.array(least, pa.list_(pa.int64()))], names=["key", "fp", "band", "print", "minima"])
+
+    known = staged(rows.mapInArrow(lean(describe), "key long, fp long, band int, print long, minima array<long>"), "sets")
+    entries = staged(known.groupBy("fp").agg(F.min("key").alias("head"), F.min("band").alias("band"), F.min("print").alias("print"), F.min("minima").alias("minima")), "entries")
+    prints = staged(entries.where("band > 0").select(F.col("print").alias("fp")).distinct(), "prints")
+    near = components(simhash.links(prints, prints.count(), radius)).select("node", "root")
+    # merged at every size: the plan doesn't turn with the number of links
+    classed = entries.where("band > 0").join(near.hint("merge"), F.col("print") == F.col("node"), "left")
+    index = F.xxhash64(F.lit("print"), F.coalesce("root", "print"))
+    under = classed.select("fp", "head", "band", F.explode(F.concat("minima", F.array(index))).alias("bucket"))
     members = under.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who")).where("n > 1")
     kept = members.groupBy("n", "who").agg(F.min("bucket").alias("kept"))
     banded = F.array(F.xxhash64("bucket", "band"), F.xxhash64("bucket", F.col("band") + 1))

@@ -31,7 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each component of texts whose five-word shingles are 0.8 alike or more."""
+    """The first document, by id, of each component of texts whose five-word shingles are 0.8 alike or more;
+    SimHash by multi-index hashing and least shingles propose, whole sets decide."""
     return simhash.one_of_each(docs, classes=shingles.similar_classes(docs))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline as P
 from cellweave.llm import components as C
 from cellweave.llm import shingles as S
+from cellweave.llm import simhash
 
 
 def slow_set(text):
@@ -127,3 +128,22 @@ def test_a_crowded_bucket_is_split_by_sizes_without_a_loss(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in P.one_of_near_duplicates(spark, df, "").collect()) == sorted(slow_heads(rows))
+
+
+def test_fingerprints_of_the_sets_propose_pairs_by_multi_index_hashing(spark):
+    rows = [(i, t) for i, t in corpus() if t and i % 10 < 2]
+    rng = random.Random(3)
+    for i, t in rows[::2]:  # one word more at the end
+        rows.append((i + 5, f"{t} w{rng.randint(0, 10**6)}"))
+    sets = {i: S.shingle_set(t) for i, t in rows}
+    prints = {i: simhash.majority(s) for i, s in sets.items()}
+    assert prints[0] == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in sets[0]) > len(sets[0]))
+    alike = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    pairs = [(i, j) for i in sets for j in sets if i < j and (prints[i] ^ prints[j]).bit_count() <= S.RADIUS and alike(sets[i], sets[j])]
+    assert len(pairs) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["key"]: r["component"] for r in S.similar_classes(df, orders=0).collect()}
+    nodes, roots = C.forest(*map(np.array, zip(*pairs)))
+    # without a common least element: these links, and no others but between members of a class of fingerprints
+    assert {i: got[i] for i in nodes.tolist()} == dict(zip(nodes.tolist(), roots.tolist()))
+    assert all(alike(sets[i], sets[c]) for i, c in got.items() if i // 10 == c // 10) and all(i // 10 == c // 10 for i, c in got.items())
